@@ -49,4 +49,31 @@ with d as (
 select doc_id, size, source_size, target, ((n + case when helps and i = 1 then sign(gap) else 0 end) * size)::bigint taken from o
 """
 
-ORACLES = {"op5_mixing": OP5, "op9_exact_dedup": OP9}
+OP2 = rf"""
+with d as (
+  select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{W}') w from documents
+), p as (
+  select doc_id, w, unnest(range(1, len(w) + 1)) i from d
+), win as (
+  select doc_id, i, k, w[i : i + k - 1] g from p cross join (values (5), (8), (101)) v(k) where i + k - 1 <= len(w)
+), rep as (
+  select doc_id, k, i from (select *, count(*) over (partition by doc_id, k, g) n from win) where n > 1
+), cover as (
+  select doc_id, k, count(distinct j) n from (select doc_id, k, unnest(range(i, i + k)) j from rep) group by all
+), lines as (
+  select doc_id, count(*) - count(distinct l) n from (select doc_id, unnest(string_split(t, chr(10))) l from d) where regexp_matches(l, '{W}') group by 1
+), m as (
+  select d.doc_id, len(w)::bigint n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols, coalesce(l.n, 0)::bigint n_dup_lines,
+    coalesce(c8.n, 0)::bigint n_repeat_words, coalesce(c5.n, 0)::bigint covered_words, c101.n is not null long_repeat
+  from d left join lines l on l.doc_id = d.doc_id
+  left join cover c5 on c5.doc_id = d.doc_id and c5.k = 5 left join cover c8 on c8.doc_id = d.doc_id and c8.k = 8
+  left join cover c101 on c101.doc_id = d.doc_id and c101.k = 101
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words,
+  n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 100 * covered_words <= 40 * n_words and not long_repeat kept
+from m
+"""
+
+ORACLES = {"op2_quality_rules": OP2, "op5_mixing": OP5, "op9_exact_dedup": OP9}

@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, packing, quality_rules, sharding, simhash
 from .common import documents
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words"]
+    return judged.select("doc_id", *[f"__mr_rules.{m}" for m in measures])
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(documents(spark, sf_dir))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), with_ids=False)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -23,4 +38,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op8_sharding, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op4_packing, op5_mixing, op8_sharding, op9_exact_dedup)}
