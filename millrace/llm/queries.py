@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality_rules, sharding, simhash
+from . import exact_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash, toxicity
 from .common import documents
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words"]
@@ -28,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.reshard(documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
@@ -38,4 +50,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_simhash, op4_packing, op5_mixing, op8_sharding, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_simhash, op4_packing, op5_mixing, op7_toxicity, op8_sharding, op9_exact_dedup)}
