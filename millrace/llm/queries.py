@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash, toxicity
+from . import exact_dedup, mixing, packing, pii, quality_classifier, quality_rules, sharding, simhash, toxicity
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir)).drop("found")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -50,4 +54,4 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_simhash, op4_packing, op5_mixing, op7_toxicity, op8_sharding, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_simhash, op4_packing, op5_mixing, op6_pii, op7_toxicity, op8_sharding, op9_exact_dedup)}
