@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, pii, quality_classifier, quality_rules, sharding, simhash, toxicity
+from . import exact_dedup, lm_score, mixing, packing, pii, quality_classifier, quality_rules, sharding, simhash, toxicity
 from .common import documents
 
 
@@ -54,4 +54,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_simhash, op4_packing, op5_mixing, op6_pii, op7_toxicity, op8_sharding, op9_exact_dedup)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_simhash, op4_packing, op5_mixing, op6_pii, op7_toxicity, op8_sharding, op9_exact_dedup, op10_lm_score)}
