@@ -35,7 +35,7 @@ FREQUENT = 200_000
 #: A training document gives one window for its start, one for its end, and one for each so many words.
 WORDS_PER_WINDOW = 192
 SNIPPET_WORDS = 16
-WINDOWS_PER_LEARNER, BATCH = 16_384, 64
+WINDOWS_PER_LEARNER, BATCH = 65_536, 64
 RATES = (0.012, 0.006, 0.002)
 SCORE_BATCH = 512
 FLUSH = 400_000
