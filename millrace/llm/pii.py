@@ -159,6 +159,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
     whole = whole.withColumns({"base": F.array_sort("base"), "found": every})
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda k: k == F.lit(KINDS.index(name)))).cast("long").alias(f"n_{name}") for name in PATTERNS]
     named = F.transform("found", lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return whole.select("doc_id", *counts, F.sha2(text_of(F.col("base")), 256).alias("base_sha256"), text_of(F.col("found")).alias("spans"), named.alias("found"))
