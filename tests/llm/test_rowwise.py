@@ -173,7 +173,7 @@ def test_personal_data(spark, corpus, empty):
         assert got[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), t
         for k in PLAIN:
             assert got[i][f"n_{k}"] == sum(n == k for _, _, n, _ in spans)
-        assert set(text.split(",")) <= set(got[i]["spans"].split(","))
+        assert set(filter(None, text.split(","))) <= set(got[i]["spans"].split(","))
     # The pattern "badge number" is confident; what it reveals is found elsewhere too.
     assert got[9004]["spans"] == "id:27:37" and got[9101]["spans"] == "id:6:16" and got[9100]["spans"] == ""
     assert pii.find_pii(corpus[1]).count() == len(corpus[0])
