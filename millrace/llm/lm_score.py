@@ -217,6 +217,7 @@ def train(rows: DataFrame, slots: Slots, n_ends: int) -> np.ndarray:
     if not n:
         return weights
     learners = max(1, -(-n // WINDOWS_PER_LEARNER))
+    passes = max(1, learners * WINDOWS_PER_LEARNER // n)  # a small table is gone over again
     dealt = stored(data.repartition(learners, F.xxhash64("slots", "part")))
     for rate in RATES:
         given = spark.sparkContext.broadcast(weights)
@@ -233,7 +234,7 @@ def train(rows: DataFrame, slots: Slots, n_ends: int) -> np.ndarray:
             rng = np.random.default_rng(size)
 
             def steps():
-                for _ in range(max(1, WINDOWS_PER_LEARNER // size)):
+                for _ in range(passes):
                     order = rng.permutation(size)
                     for i in range(0, size, BATCH):
                         yield [x[order[i : i + BATCH]] for x in whole]
