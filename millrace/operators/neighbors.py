@@ -1,9 +1,9 @@
 """Exact nearest neighbours: blocked distances in Arrow batches against broadcast blocks of the training table.
 
-Training rows come as numpy blocks of a counted size. One block that fits the bound is
-broadcast; a larger table is cut into such blocks and each query row meets them one
-after the other, keeping k candidates, so memory does not grow with the table. The k
-winners' distances are exact differences.
+The smaller of the two tables, queries or training rows, is sent to the executors in
+numpy blocks of a counted size; the larger stays where it is and meets the blocks one
+after the other, keeping k candidates a query, so memory does not grow with either. The
+k winners' distances are exact differences.
 """
 
 from __future__ import annotations
@@ -51,6 +51,52 @@ def nearest(q: np.ndarray, t: np.ndarray, ids: np.ndarray, k: int, metric: str,
     return out_d, out_i
 
 
+def _rows(query: np.ndarray, near: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+    k = near.shape[1]
+    real = np.isfinite(distance.ravel())
+    rank = np.tile(np.arange(1, k + 1, dtype=np.int32), len(query))
+    columns = [np.repeat(query, k)[real], rank[real], near.ravel()[real], distance.ravel()[real]]
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["query", "rank", "neighbor", "distance"])
+
+
+def _scan_queries(shared, k: int, metric: str, own: bool):
+    """Batches of queries against a block of training rows."""
+
+    def scan(batches):
+        ids, t = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            q_ids, q = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), float)
+            for i in range(0, len(q), QUERY_ROWS):
+                part = q_ids[i : i + QUERY_ROWS]
+                d, n = nearest(q[i : i + QUERY_ROWS], t, ids, k, metric, part if own else None)
+                yield _rows(part, n, d)
+
+    return scan
+
+
+def _scan_training(shared, k: int, metric: str):
+    """A partition of training rows against a block of queries, keeping the k best of each."""
+
+    def scan(batches):
+        q_ids, q = shared.value
+        best_d, best_n = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, t = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), float)
+            for i in range(0, len(q), QUERY_ROWS):
+                at = slice(i, i + QUERY_ROWS)
+                d, n = nearest(q[at], t, ids, k, metric)
+                d, n = np.hstack([best_d[at], d]), np.hstack([best_n[at], n])
+                order = np.lexsort((n, d), axis=1)[:, :k]
+                best_d[at], best_n[at] = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
+        yield _rows(q_ids, best_n, best_d)
+
+    return scan
+
+
 class _Neighbors(BaseEstimator):
     def __init__(self, n_neighbors=5, *, weights="uniform", algorithm="auto", leaf_size=30, p=2, metric="minkowski", metric_params=None, n_jobs=None):
         self.n_neighbors, self.weights, self.algorithm, self.leaf_size = n_neighbors, weights, algorithm, leaf_size
@@ -104,22 +150,19 @@ class _Neighbors(BaseEstimator):
         self._train = df
         return self
 
-    def _blocks(self):
-        """The training table in blocks of bounded size, in id order."""
-        data = self._train.select(c(self.id_).cast("long").alias("id"), self._vector(self._train, self.feature_names_in_).alias("x"))
-        width = max(1, len(self.feature_names_in_))
+    def _blocks(self, df: DataFrame, id_col: str):
+        """A table in numpy blocks of bounded size, in id order."""
+        data = df.select(c(id_col).cast("long").alias("id"), self._vector(df, self.feature_names_in_).alias("x"))
         first = data.first()
-        width = len(first["x"]) if first else width
-        rows = max(1, BLOCK_CELLS // width)
-        ids, xs, held = [], [], 0
+        rows = max(1, BLOCK_CELLS // max(1, len(first["x"]) if first else 1))
+        ids, xs = [], []
         for row in data.orderBy("id").toLocalIterator(prefetchPartitions=True):
             ids.append(row["id"])
             xs.append(row["x"])
-            held += 1
-            if held == rows:
+            if len(ids) == rows:
                 yield np.array(ids, np.int64), np.array(xs, float)
-                ids, xs, held = [], [], 0
-        if held:
+                ids, xs = [], []
+        if ids:
             yield np.array(ids, np.int64), np.array(xs, float)
 
     def kneighbors(self, df: DataFrame | None = None, n_neighbors: int | None = None, id_col: str | None = None) -> DataFrame:
@@ -130,38 +173,25 @@ class _Neighbors(BaseEstimator):
             raise ValueError(f"Expected n_neighbors <= n_samples_fit, but n_neighbors = {k}, n_samples_fit = {self.n_samples_fit_ - own}")
         query = self._train if own else df
         id_col = self.id_ if own else (id_col or self.id_)
+        n_query = self.n_samples_fit_
         if not own:
             self._require(df)
-            self._check(df, self.feature_names_in_)
-        spark = query.sparkSession
-        data = query.select(c(id_col).cast("long").alias("query"), self._vector(query, self.feature_names_in_).alias("x"))
+            n_query = self._check(df, self.feature_names_in_)
+        # The smaller table goes to the executors in blocks; the larger stays where it is.
+        sent, kept = ((query, id_col), (self._train, self.id_)) if n_query < self.n_samples_fit_ else ((self._train, self.id_), (query, id_col))
+        spark, of_query = query.sparkSession, sent[0] is query and not own
+        data = kept[0].select(c(kept[1]).cast("long").alias("id"), self._vector(kept[0], self.feature_names_in_).alias("x"))
         found, blocks = None, 0
         schema = "query long, rank int, neighbor long, distance double"
-        for ids, t in self._blocks():
-            shared, blocks = spark.sparkContext.broadcast((ids, t)), blocks + 1
-
-            def scan(batches, shared=shared):
-                ids, t = shared.value
-                for b in batches:
-                    if not b.num_rows:
-                        continue
-                    q_ids = b.column(0).to_numpy()
-                    q = np.array(b.column(1).to_pylist(), float)
-                    for i in range(0, len(q), QUERY_ROWS):
-                        part = q_ids[i : i + QUERY_ROWS]
-                        d, n = nearest(q[i : i + QUERY_ROWS], t, ids, k, metric, part if own else None)
-                        rank = np.tile(np.arange(1, k + 1, dtype=np.int32), len(part))
-                        real = np.isfinite(d.ravel())
-                        columns = [np.repeat(part, k)[real], rank[real], n.ravel()[real], d.ravel()[real]]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query", "rank", "neighbor", "distance"])
-
-            one = data.mapInArrow(scan, schema)
+        for ids, x in self._blocks(*sent):
+            shared, blocks = spark.sparkContext.broadcast((ids, x)), blocks + 1
+            one = data.mapInArrow(_scan_training(shared, k, metric) if of_query else _scan_queries(shared, k, metric, own), schema)
             found = one if found is None else found.unionByName(one)
         if found is None:
             return spark.createDataFrame([], schema)
-        if blocks == 1:
+        if blocks == 1 and not of_query:
             return found
-        # Several blocks: the best k of their candidates.
+        # Several candidates lists a query: the best k of them.
         w = W.partitionBy("query").orderBy("distance", "neighbor")
         return found.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k)
 
