@@ -218,7 +218,7 @@ def train(rows: DataFrame, slots: Slots, n_ends: int) -> np.ndarray:
         return weights
     learners = max(1, -(-n // WINDOWS_PER_LEARNER))
     passes = max(1, learners * WINDOWS_PER_LEARNER // n)  # a small table is gone over again
-    dealt = stored(data.repartition(learners, F.xxhash64("slots", "part")))
+    dealt = stored(data.repartition(learners))  # in turn, so that copies of a text do not gather in one learner
     for rate in RATES:
         given = spark.sparkContext.broadcast(weights)
 
