@@ -33,7 +33,7 @@ FOLDS, HELD_OUT = 10, 0
 #: Most frequent words that are broadcast, at most.
 FREQUENT = 200_000
 #: A training document gives one window for its start, one for its end, and one for each so many words.
-WORDS_PER_WINDOW = 192
+WORDS_PER_WINDOW = 384
 SNIPPET_WORDS = 16
 WINDOWS_PER_LEARNER, BATCH = 65_536, 64
 RATES = (0.012, 0.006, 0.002)
