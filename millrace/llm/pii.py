@@ -33,6 +33,8 @@ ROUNDS = 3
 LEAST_INSTANCES, LEAST_CONFIDENCE, LEAST_BELIEF = 3, 0.8, 0.8
 #: Characters before an entity in which its two words are sought.
 LEFT = 300
+#: Parts in which patterns are counted: bounds of a hash of doc_id; together they are all documents.
+PARTS = (0, 1, 8, 64)
 _SPAN = "array<struct<start:int,end:int,value:string,left:string>>"
 
 
@@ -95,12 +97,25 @@ def entities(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "rid", F.concat("base", free).alias("items"))
 
 
-def pattern_totals(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """(pattern, total): how often each wanted pattern stands before any word, in all texts."""
-    words = docs.select(F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0)).alias("w")).filter(F.size("w") >= 3)
-    both = F.zip_with(F.slice("w", 1, F.size("w") - 2), F.slice("w", 2, F.size("w") - 2), lambda a, b: F.xxhash64(a, b))
-    seen = words.select(F.explode(both).alias("pattern"))
-    return seen.join(small(wanted, n_wanted, 1_000_000), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+def pattern_totals(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pattern, total): how often each pattern of wanted(pattern, n) stands before any word, in all texts.
+
+    All texts are counted, in growing parts. A pattern that already stands before more
+    words than its n entities could ever make confident is settled, and is not counted
+    on; so common word pairs cost no more than rare ones. Those that stay have their
+    full totals.
+    """
+    words = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS[-1])).alias("part"), text_or_empty().alias("text"))
+    left = wanted.withColumn("total", F.lit(0).cast("long"))
+    for low, high in zip(PARTS, PARTS[1:]):
+        n_left = left.count()
+        some = words.filter((F.col("part") >= low) & (F.col("part") < high)).select(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
+        both = F.zip_with(F.slice("w", 1, F.size("w") - 2), F.slice("w", 2, F.size("w") - 2), lambda a, b: F.xxhash64(a, b))
+        seen = some.filter(F.size("w") >= 3).select(F.explode(both).alias("pattern"))
+        seen = seen.join(small(left.select("pattern"), n_left, 1_000_000), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("more"))
+        left = left.join(seen, "pattern", "left").select("pattern", "n", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"))
+        left = stored(left.filter(F.col("total") * F.lit(LEAST_CONFIDENCE) <= F.col("n") + F.lit(1e-6)))
+    return left.select("pattern", "total")
 
 
 def discover(items: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -108,13 +123,12 @@ def discover(items: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFra
     own = KINDS.index("id")
     items = items.filter(F.col("pattern").isNotNull()).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind"))
     items = stored(items)
-    wanted = items.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum((F.col("kind") < own).cast("int")).alias("seeds"))
-    wanted = stored(wanted.filter(F.col("values") >= LEAST_INSTANCES).select("pattern"))
-    n_wanted = wanted.count()
+    wanted = items.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"))
+    wanted = stored(wanted.filter(F.col("values") >= LEAST_INSTANCES).select("pattern", "n"))
     belief = items.filter(F.col("kind") == own).select("value", F.lit(0.0).alias("belief")).limit(0)
-    if not n_wanted:
+    if wanted.isEmpty():
         return belief.select("value")
-    totals = stored(pattern_totals(docs, wanted, n_wanted))
+    totals = pattern_totals(docs, wanted)
     graph = stored(items.join(totals, "pattern"))
     belief, n_believed = stored(belief), 0
     for _ in range(rounds):
