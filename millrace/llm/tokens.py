@@ -47,20 +47,24 @@ class WordTokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.cuts(t) if t else [] for t in texts]
         known = self.words
-        missing = list({w for ws in cut for w in ws if w not in known})
+        get = known.get
+        out, open_ = [], []
+        for k, t in enumerate(texts):
+            ws = self.cuts(t) if t else []
+            found = list(map(get, ws))
+            if None in found:
+                open_.append((k, ws))
+            out.append(b"".join(found) if not open_ or open_[-1][0] != k else found)
+        missing = list({w for k, ws in open_ for w, x in zip(ws, out[k]) if x is None})
         if missing:
             spelled = [w[1:] if w[:1] == " " else w if w[:1] == "\n" else " " + w for w in missing]
             new = dict(zip(missing, self._encode(spelled), strict=True))
+            for k, ws in open_:
+                out[k] = b"".join([new[w] if x is None else x for w, x in zip(ws, out[k])])
             if len(known) + len(new) <= CACHE_WORDS:
                 known.update(new)
-                get = known.__getitem__
-            else:
-                get = lambda w: known[w] if w in known else new[w]
-        else:
-            get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
+        return out
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
