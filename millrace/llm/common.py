@@ -110,7 +110,7 @@ def running(df: DataFrame, group: str, digest: str, tie: Sequence[str], values:
         .withColumns({f"_before_{o}": F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)) for o in values})
         .drop(*[f"_t_{o}" for o in values])
     )
-    joined = rows.join(totals, same([F.col(group), F.col("_bucket")], [F.col("_g"), F.col("_b")]))
+    joined = rows.join(totals.hint("merge"), same([F.col(group), F.col("_bucket")], [F.col("_g"), F.col("_b")]))
     return joined.withColumns({o: F.col(f"_in_{o}") + F.col(f"_before_{o}") for o in values}).drop(
         "_g", "_b", *[f"_in_{o}" for o in values], *[f"_before_{o}" for o in values]
     )

@@ -4,7 +4,7 @@ Every source is cut into blocks by the leading digits of a salted digest of doc_
 digest order is a fixed random permutation of blocks and of the documents in them.
 A source's target fixes how many of its permuted blocks are drawn (whole passes, a
 prefix of one more pass, and single documents of the block in which the target
-falls). The exact block quotas of all sources are split over the output shards by a
+falls; large documents first, so that small ones can fill up the rest). The exact block quotas of all sources are split over the output shards by a
 binary tree whose every node draws from the multivariate hypergeometric law; each
 shard then takes disjoint consecutive draws of the permuted blocks and orders its
 rows by another digest.
@@ -26,6 +26,8 @@ CAP = 2
 WORDS_PER_SHARD = 2_000_000
 MOST_SHARDS = 4096
 SALT = "mix-"
+#: A document with more than 1/LARGE of its source's words is large.
+LARGE = 64
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> DataFrame:
@@ -132,14 +134,19 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> D
         .withColumnRenamed("source", "_source")
     )
     digits = hex_digits(per_source)
-    summed = running(rows, "source", "h", ["size", "rid"], {"before": "size"}, digits)
     on_source = same([F.col("source")], [F.col("_source")])
-    drawn = summed.join(small(targets, n_sources), on_source).withColumn(
-        "first_times",
-        F.col("passes")
-        + F.when((F.col("passes") < cap) & (2 * F.col("before") + F.col("size") <= 2 * F.col("rest")), 1).otherwise(0),
-    )
-    drawn = stored(drawn.drop("_source", "weight", "before"))
+    sided = rows.join(small(targets, n_sources), on_source).withColumn("side", F.struct("source", (F.col("size") * LARGE > F.col("source_size")).alias("large")))
+    summed = running(sided, "side", "h", ["size", "rid"], {"before": "size"}, digits)
+    # Large documents get their share of the rest first; the many others fill up what is left of it.
+    wide = F.col("side.large") & (F.col("passes") < cap)
+    n_large = (2 * F.col("before") + F.col("size")) * F.col("source_size") <= 2 * F.col("rest") * F.col("large_size")
+    large = sided.filter("side.large").groupBy(F.col("source").alias("_ls")).agg(F.sum("size").alias("large_size"))
+    summed = summed.join(small(large, n_sources), same([F.col("source")], [F.col("_ls")]), "left")
+    summed = stored(summed.withColumn("extra", F.when(wide & n_large, 1).otherwise(0)).drop("_ls", "large_size", "_source", "weight"))
+    spent = summed.groupBy(F.col("source").alias("_source")).agg(F.sum(F.col("extra") * F.col("size")).alias("spent"))
+    fits = ~F.col("side.large") & (F.col("passes") < cap) & (2 * F.col("before") + F.col("size") <= 2 * (F.col("rest") - F.col("spent")))
+    drawn = summed.join(small(spent, n_sources), on_source).withColumn("first_times", F.col("passes") + F.when(fits, 1).otherwise(F.col("extra")))
+    drawn = stored(drawn.drop("_source", "before", "spent", "extra", "side"))
     # One document for each source is added or dropped, if that helps.
     gap = drawn.groupBy("source").agg((F.first("target") - F.sum(F.col("first_times") * F.col("size"))).alias("gap"))
     gap = gap.select(F.col("source").alias("_source"), "gap")
@@ -165,8 +172,9 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> D
     shards = max(1, min(MOST_SHARDS, -(-words // WORDS_PER_SHARD)))
     ends = np.cumsum(splitting_tree([r["quota"] for r in quotas], shards), axis=0)
     bounds = _quota_table(spark, [r["source"] for r in quotas], ends)
+    # The block table grows with the input: it meets its rows by a shuffle, whatever its files' size suggests.
     timed = timed.join(
-        blocks.select(F.col("source").alias("_bs"), F.col("_bucket").alias("_bb"), "first_draw"),
+        blocks.select(F.col("source").alias("_bs"), F.col("_bucket").alias("_bb"), "first_draw").hint("merge"),
         same([F.col("source"), F.col("_bucket")], [F.col("_bs"), F.col("_bb")]),
     ).drop("_bs", "_bb")
     timed = timed.join(small(bounds, n_sources), on_source, "left")
@@ -211,4 +219,7 @@ def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     on = same([F.col("doc_id"), F.col("__mr_hash")], [F.col("__mr_id"), F.col("__mr_th")])
     dealt = hashed.join(copies.hint("shuffle_hash"), on).select(*columns, F.posexplode("__mr_shards").alias("__mr_copy", "__mr_shard"))
     order = F.md5(F.concat_ws(":", F.lit("order"), F.col("doc_id").cast("string"), F.col("__mr_copy").cast("string")))
-    return dealt.repartition("__mr_shard").sortWithinPartitions("__mr_shard", order).select(*columns)
+    # Ranges of (shard, order) keep each shard together and in order, and split what is too large for one task.
+    dealt = dealt.withColumn("__mr_order", order)
+    ranged = dealt.repartitionByRange("__mr_shard", "__mr_order").sortWithinPartitions("__mr_shard", "__mr_order")
+    return ranged.select(*columns)

@@ -34,11 +34,16 @@ with d as (
 ), p as (
   select *, (case when source_size = 0 then 0 else floor(target / source_size) end)::bigint passes from t
 ), x as (
-  select d.doc_id, d.size, d.h, p.source, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size rest,
-    coalesce(sum(d.size) over (partition by d.source order by d.h, d.size rows between unbounded preceding and 1 preceding), 0) before
+  select d.doc_id, d.size, d.h, p.source, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size rest, d.size * 64 > p.source_size large,
+    coalesce(sum(d.size) over (partition by d.source, d.size * 64 > p.source_size order by d.h, d.size rows between unbounded preceding and 1 preceding), 0) before,
+    sum(d.size) over (partition by d.source, d.size * 64 > p.source_size) side_size
   from d join p on d.source is not distinct from p.source
+), l as (
+  select *, case when large and passes < 2 and (2 * before + size) * source_size <= 2 * rest * side_size then 1 else 0 end extra from x
+), s2 as (
+  select *, sum(extra * size) over (partition by source) spent from l
 ), y as (
-  select *, passes + (case when passes < 2 and 2 * before + size <= 2 * rest then 1 else 0 end) n from x
+  select *, passes + (case when not large and passes < 2 and 2 * before + size <= 2 * (rest - spent) then 1 else extra end) n from s2
 ), z as (
   select *, target - sum(n * size) over (partition by source) gap from y
 ), m as (
