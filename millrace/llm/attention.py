@@ -113,6 +113,33 @@ def _forward(w: dict[str, np.ndarray], inputs: np.ndarray, hidden: np.ndarray) -
     return x, q, k, v, a, mixed, h1, up, h
 
 
+def _hidden_states(w: dict[str, np.ndarray], inputs: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+    """What _forward ends with, for scoring: scores are shifted only if that is needed, and weights divided after mixing."""
+    x = w["embed"][inputs]
+    x += w["place"]
+    flat_x = x.reshape(-1, WIDTH)
+    recent = x[:, LENGTH - STRIDE :]
+    q = recent @ (w["q"] * np.float32(WIDTH**-0.5))
+    k = (flat_x @ w["k"]).reshape(x.shape)
+    v = (flat_x @ w["v"]).reshape(x.shape)
+    a = q @ k.transpose(0, 2, 1)
+    a += _CAUSAL
+    at = np.flatnonzero(hidden.any(axis=1))
+    if len(at):
+        a[at] += np.where(hidden[at], _NEVER, np.float32(0))[:, None, :]
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        e = np.exp(a)
+        total = e.sum(axis=2, keepdims=True)
+        mixed = (e @ v) / total
+    if not np.isfinite(mixed).all():
+        return _forward(w, inputs, hidden)[-1]
+    h = recent + mixed @ w["o"]
+    up = h.reshape(-1, WIDTH) @ w["up"]
+    up += w["up_bias"]
+    np.maximum(up, 0, out=up)
+    return h + (up @ w["down"]).reshape(h.shape)
+
+
 def _log_softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
@@ -132,7 +159,7 @@ def _log_sums(z: np.ndarray) -> np.ndarray:
 
 def log_probabilities(w: dict[str, np.ndarray], inputs: np.ndarray, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target, in the shape of targets."""
-    h = _forward(w, inputs, hidden)[-1].reshape(-1, WIDTH)
+    h = _hidden_states(w, inputs, hidden).reshape(-1, WIDTH)
     t = targets.ravel()
     order = np.argsort(t.astype(np.int16), kind="stable")
     h, t = h[order], t[order]

@@ -11,51 +11,68 @@ each text into overlapping windows in which every slot is a target once.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import sys
 import types
+from array import array
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention as net
 from .blocks import blocks, with_columns
 from .common import id_remainder, stored
-from .packing import VOCABULARY
-from .tokens import CACHE_WORDS, word_tokenizer
+from .tokens import CACHE_WORDS
 
+#: The ranks of the byte-level vocabulary, and the pattern that goes with them.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 FOLDS, HELD_OUT = 10, 0
 #: Most frequent words that are broadcast, at most.
 FREQUENT = 200_000
 #: A training document gives one window for its start, one for its end, and one for each so many words.
 WORDS_PER_WINDOW = 384
 SNIPPET_WORDS = 16
-WINDOWS_PER_LEARNER, BATCH = 65_536, 64
-RATES = (0.012, 0.006, 0.002)
+WINDOWS_PER_LEARNER, BATCH = 65_536, 96
+RATES = (0.012, 0.004)
 SCORE_BATCH = 512
 FLUSH = 400_000
 
 
+def encoding(path: str) -> tiktoken.Encoding:
+    """The tokenizer of this Python process."""
+    kept = sys.modules.setdefault("_millrace_kept", types.ModuleType("_millrace_kept"))
+    table = kept.__dict__.setdefault("encodings", {})
+    if path not in table:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        table[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return table[path]
+
+
+def subwords(t: tiktoken.Encoding, word: bytes) -> list[int]:
+    return t.encode_ordinary(" " + word.decode("utf-8", "replace"))
+
+
 class Slots:
-    """Which slot each subword id has; ids without one are spelled by single characters of the byte alphabet."""
+    """Which slot each subword id has; ids without one are spelled by single bytes."""
 
     def __init__(self, path: str, counts: dict[int, int]):
-        t = word_tokenizer(path).tokenizer
+        t = encoding(path)
         self.path = path
-        size = t.get_vocab_size()
-        letters = {i for i in range(size) if len(t.id_to_token(i) or "") == 1}
+        letters = {t.encode_single_token(bytes([b])) for b in range(256)}
         others = sorted((i for i in counts if i not in letters), key=lambda i: (-counts[i], i))[: net.SLOTS - 1 - len(letters)]
-        spelled: dict[int, list[int]] = {}
+        kept, spelled = letters | set(others), {}
         total: Counter = Counter()
-        kept = letters | set(others)
         for i, n in counts.items():
             if i not in kept:
-                spelled[i] = [t.token_to_id(c) for c in t.id_to_token(i)]
+                spelled[i] = bytes_of(t, i)
             for j in spelled.get(i, [i]):
                 total[j] += n
         order = sorted(kept, key=lambda i: (-total[i], i))
@@ -72,30 +89,32 @@ class Slots:
         return kept.slots
 
 
+def bytes_of(t: tiktoken.Encoding, i: int) -> list[int]:
+    return [t.encode_single_token(bytes([b])) for b in t.decode_single_token_bytes(i)]
+
+
 class SlotReader:
     def __init__(self, slots: Slots):
-        self.slots, self.tokenizer, self.words = slots, word_tokenizer(slots.path), {}
+        self.slots, self.encoding, self.words = slots, encoding(slots.path), {}
 
-    def _spell(self, ids: list[int]) -> bytes:
+    def _spell(self, word: bytes) -> bytes:
         table, out = self.slots.table, []
-        for i in ids:
+        for i in subwords(self.encoding, word):
             if i not in table:
-                t = self.tokenizer.tokenizer
-                table[i] = [self.slots.slot[t.token_to_id(c)] for c in t.id_to_token(i)]
+                table[i] = [self.slots.slot[j] for j in bytes_of(self.encoding, i)]
             out += table[i]
-        return np.array(out, dtype="<u2").tobytes()
+        return array("H", out).tobytes()
 
     def of(self, words: list[bytes]) -> list[bytes]:
-        """Slots of each word (with the space before it), as little-endian 16-bit numbers."""
-        known = self.words
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        new: dict[bytes, bytes] = {}
-        if missing:
-            found = self.tokenizer.tokenizer.encode_batch([" " + w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            new = {w: self._spell(e.ids) for w, e in zip(missing, found, strict=True)}
-            if len(known) + len(new) <= CACHE_WORDS:
-                known.update(new)
-        return [known[w] if w in known else new[w] for w in words]
+        """Slots of each word (with the space before it), as 16-bit numbers."""
+        known, spell = self.words, self._spell
+        found = list(map(known.get, words))
+        for k, x in enumerate(found):
+            if x is None:
+                found[k] = x = spell(words[k])
+                if len(known) < CACHE_WORDS:
+                    known[words[k]] = x
+        return found
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -152,12 +171,10 @@ def subword_counts(counts: DataFrame, path: str) -> dict[int, int]:
     """Occurrences of each subword id in the training texts; the vocabulary bounds the result."""
 
     def scan(batches):
-        tokenizer, total = word_tokenizer(path), Counter()
+        t, total = encoding(path), Counter()
         for batch in batches:
-            words, cs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = tokenizer.tokenizer.encode_batch([" " + w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-            for e, c in zip(found, cs, strict=True):
-                for i in e.ids:
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i in subwords(t, w):
                     total[i] += c
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["id", "c"])
 
@@ -275,7 +292,7 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int =
     the last word. Null and empty texts are the end alone. Rows that repeat a doc_id
     are counted and scored one by one. Without training rows, counts are zero and the
     model knows no frequencies. An empty table gives no rows; columns besides doc_id
-    and text are not read. vocabulary is a tokenizer file on every executor.
+    and text are not read. vocabulary is a file of ranks on every executor.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     spark = docs.sparkSession
