@@ -140,10 +140,20 @@ def _hidden_states(w: dict[str, np.ndarray], inputs: np.ndarray, hidden: np.ndar
     return h + (up @ w["down"]).reshape(h.shape)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+def _shares(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The softmax of each row and the log of its summed exponentials; rows are shifted only if that is needed."""
+    one = np.ones(z.shape[1], z.dtype)
+    with np.errstate(over="ignore", divide="ignore"):
+        p = np.exp(z)
+        total = p @ one
+        out = np.log(total)
+    if not np.isfinite(out).all():
+        top = z.max(axis=1)
+        p = np.exp(z - top[:, None])
+        total = p @ one
+        out = np.log(total) + top
+    p /= total[:, None]
+    return p, out
 
 
 def _log_sums(z: np.ndarray) -> np.ndarray:
@@ -190,28 +200,31 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, hidden: np.ndarray,
     g = {}
     hf = h.reshape(-1, WIDTH)
     rows = np.arange(len(t))
-    lp = _log_softmax(hf @ w["group"] + w["group_bias"])
-    loss = -float((lp[rows, group] * weight).sum())
-    d = np.exp(lp)
+    z = hf @ w["group"] + w["group_bias"]
+    d, sums = _shares(z)
+    loss = -float(((z[rows, group] - sums) * weight).sum())
     d[rows, group] -= 1
     d *= weight[:, None]
     g["group"], g["group_bias"] = hf.T @ d, d.sum(axis=0)
     dh = d @ w["group"].T
     g["member"], g["member_bias"] = np.zeros_like(w["member"]), np.zeros_like(w["member_bias"])
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    hs, member, weight = hf[order], member[order], weight[order]
     cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        r = order[cut[c] : cut[c + 1]]
-        if not len(r):
-            continue
-        lp = _log_softmax(hf[r] @ w["member"][c] + w["member_bias"][c])
-        at = np.arange(len(r))
-        loss -= float((lp[at, member[r]] * weight[r]).sum())
-        d = np.exp(lp)
-        d[at, member[r]] -= 1
-        d *= weight[r][:, None]
-        g["member"][c], g["member_bias"][c] = hf[r].T @ d, d.sum(axis=0)
-        dh[r] += d @ w["member"][c].T
+    some = [(c, cut[c], cut[c + 1]) for c in range(CLASSES) if cut[c] < cut[c + 1]]
+    z = np.empty((len(t), CLASS_SIZE), hf.dtype)
+    for c, i, j in some:
+        np.matmul(hs[i:j], w["member"][c], out=z[i:j])
+        z[i:j] += w["member_bias"][c]
+    d, sums = _shares(z)
+    loss -= float(((z[rows, member] - sums) * weight).sum())
+    d[rows, member] -= 1
+    d *= weight[:, None]
+    back = np.empty_like(hs)
+    for c, i, j in some:
+        g["member"][c], g["member_bias"][c] = hs[i:j].T @ d[i:j], d[i:j].sum(axis=0)
+        np.matmul(d[i:j], w["member"][c].T, out=back[i:j])
+    dh[order] += back
     flat2 = lambda z: z.reshape(-1, z.shape[-1])
     d_up = (dh @ w["down"].T) * (flat2(up) > 0)
     g["down"], g["up"], g["up_bias"] = flat2(up).T @ dh, flat2(h1).T @ d_up, d_up.sum(axis=0)
@@ -227,8 +240,8 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, hidden: np.ndarray,
     dx = dk @ w["k"].T + dv @ w["v"].T
     dx[:, LENGTH - STRIDE :] += dq @ w["q"].T + dh1
     g["place"] = dx.sum(axis=0)
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], inputs.ravel(), flat2(dx))
+    at = (inputs.ravel() * WIDTH)[:, None] + np.arange(WIDTH)
+    g["embed"] = np.bincount(at.ravel(), weights=dx.ravel(), minlength=SLOTS * WIDTH).reshape(SLOTS, WIDTH).astype(dx.dtype)
     return loss, g
 
 

@@ -3,10 +3,10 @@
 Words of the whole table are counted first. From the counts come the base score (the
 most frequent words, a bounded number, are broadcast; the others meet their counts in
 an ordinary join) and the frequencies of subword ids. The most frequent ids and all
-single bytes become the model's slots; other ids are spelled in bytes. Every training
-document gives windows of slots, as many as its length asks for; learners train on
-their own partitions and their weights are averaged after each round. Scoring cuts
-each text into overlapping windows in which every slot is a target once.
+single bytes become the model's slots; other ids are spelled in bytes. Training and
+scoring cut each text into the same overlapping windows, in which every slot is a
+target once; in each round learners go over all windows of their own partitions, a
+bounded number in memory at a time, and their weights are averaged.
 """
 
 from __future__ import annotations
@@ -36,11 +36,11 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 FOLDS, HELD_OUT = 10, 0
 #: Most frequent words that are broadcast, at most.
 FREQUENT = 200_000
-#: A training document gives one window for its start, one for its end, and one for each so many words.
-WORDS_PER_WINDOW = 384
-SNIPPET_WORDS = 16
+#: Training texts are dealt to the learners in runs of so many windows.
+WINDOWS_PER_RUN = 64
+#: Windows dealt to one learner's partition, and windows that a learner holds at a time.
 WINDOWS_PER_LEARNER, BATCH = 65_536, 96
-RATES = (0.012, 0.004)
+RATES = (0.012, 0.006, 0.002)
 SCORE_BATCH = 512
 FLUSH = 400_000
 
@@ -183,7 +183,11 @@ def subword_counts(counts: DataFrame, path: str) -> dict[int, int]:
 
 
 def training_windows(rows: DataFrame, slots: Slots) -> DataFrame:
-    """(slots, part): runs of slots of every training document; part 0 begins it, 1 lies inside, 2 ends it."""
+    """(slots, part): all slots of every training text and its end, in runs of WINDOWS_PER_RUN windows at most.
+
+    A run of part 0 begins its text. One of part 1 goes on in it, and repeats the slots of the window before as context.
+    """
+    window = 2 * net.STRIDE  # bytes
 
     def scan(batches):
         reader = slots.reader()
@@ -191,73 +195,72 @@ def training_windows(rows: DataFrame, slots: Slots) -> DataFrame:
         for _, texts in blocks(batches):
             runs, part = [], []
             for t in texts:
-                words = t.lower().split()
-                n = len(words)
-                whole = n <= SNIPPET_WORDS
-                runs.append(words[:SNIPPET_WORDS] + [None] * whole)
-                part.append(0)
-                for i in range(WORDS_PER_WINDOW, n - SNIPPET_WORDS, WORDS_PER_WINDOW):
-                    runs.append(words[i : i + SNIPPET_WORDS])
-                    part.append(1)
-                if not whole:
-                    runs.append([*words[-SNIPPET_WORDS:], None])
-                    part.append(2)
-            distinct = list({w for r in runs for w in r if w is not None})
-            known = dict(zip(distinct, reader.of(distinct), strict=True))
-            known[None] = end
-            out = [b"".join(known[w] for w in r) for r in runs]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(part, pa.int32())], names=["slots", "part"])
+                whole = b"".join(reader.of(t.lower().split())) + end
+                for i in range(0, len(whole), WINDOWS_PER_RUN * window):
+                    runs.append(whole[max(0, i - window) : i + WINDOWS_PER_RUN * window])
+                    part.append(int(i > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.binary()), pa.array(part, pa.int32())], names=["slots", "part"])
 
     return rows.filter("train").select("text").mapInArrow(scan, "slots binary, part int")
 
 
 def window_rows(runs: list[bytes], part: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One window for each run: its first, its second or its last, by part. Runs too short for theirs give none."""
+    """All windows of the runs, as scoring cuts them; the first of a run of part 1 is another run's."""
     lengths = np.array([len(r) // 2 for r in runs], dtype=np.int64)
     bounds = np.concatenate(([0], np.cumsum(lengths)))
     inputs, hidden, targets, doc = net.windows(np.frombuffer(b"".join(runs), "<u2").astype(np.int64), bounds)
     per = -(-lengths // net.STRIDE)
-    first = np.concatenate(([0], np.cumsum(per)))[:-1]
-    take = np.where(part == 0, 0, np.where(part == 1, 1, per - 1))
-    rows = (first + take)[(take < per) & (take >= 0)]
-    return inputs[rows], hidden[rows], targets[rows], doc[rows] >= 0
+    own = np.ones(len(inputs), dtype=bool)
+    own[(np.cumsum(per) - per)[np.asarray(part) == 1]] = False
+    return inputs[own], hidden[own], targets[own], doc[own] >= 0
+
+
+def window_chunks(batches, most: int):
+    """The windows of all runs, in chunks of about `most`."""
+    runs, part, size = [], [], 0
+    for b in batches:
+        for r, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            runs.append(r)
+            part.append(p)
+            size += -(-len(r) // (2 * net.STRIDE)) - p
+            if size >= most:
+                yield window_rows(runs, np.array(part))
+                runs, part, size = [], [], 0
+    if runs:
+        yield window_rows(runs, np.array(part))
 
 
 def train(rows: DataFrame, slots: Slots, n_ends: int) -> np.ndarray:
-    """Weights after all rounds. A learner takes one partition; averages are weighted by windows seen."""
+    """Weights after all rounds; each round goes over every window. A learner takes one partition; averages are weighted by windows seen."""
     spark = rows.sparkSession
-    data = stored(training_windows(rows, slots))
-    n = data.count()
     totals = slots.totals.copy()
     totals[net.END] = n_ends
     weights = net.flat(net.initial(totals))
-    if not n:
+    if not n_ends:
         return weights
-    learners = max(1, -(-n // WINDOWS_PER_LEARNER))
+    learners = max(1, -(-int(totals.sum()) // (net.STRIDE * WINDOWS_PER_LEARNER)))
+    dealt = stored(training_windows(rows, slots).repartition(learners))  # in turn, so that copies of a text do not gather in one learner
+    n = dealt.agg(F.sum(F.ceil(F.length("slots") / (2 * net.STRIDE)) - F.col("part"))).first()[0]
     passes = max(1, learners * WINDOWS_PER_LEARNER // n)  # a small table is gone over again
-    dealt = stored(data.repartition(learners))  # in turn, so that copies of a text do not gather in one learner
+    most = WINDOWS_PER_LEARNER
     for rate in RATES:
         given = spark.sparkContext.broadcast(weights)
 
         def scan(batches, given=given, rate=rate):
             net.keep_memory()
-            parts = [window_rows(b.column(0).to_pylist(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-            if not parts:
-                return
-            whole = [np.concatenate(x) for x in zip(*parts)]
-            size = len(whole[0])
-            if not size:
-                return
-            rng = np.random.default_rng(size)
 
             def steps():
-                for _ in range(passes):
-                    order = rng.permutation(size)
-                    for i in range(0, size, BATCH):
-                        yield [x[order[i : i + BATCH]] for x in whole]
-
-            learnt, _ = net.learn(net.unflat(given.value), steps(), rate)
-            yield pa.RecordBatch.from_arrays([pa.array([net.flat(learnt)], pa.list_(pa.float32())), pa.array([size], pa.int64())], names=["w", "seen"])
+                for k, whole in enumerate(window_chunks(batches, most)):
+                    size = len(whole[0])
+                    rng = np.random.default_rng((size, k))
+                    for _ in range(passes):
+                        order = rng.permutation(size)
+                        for i in range(0, size, BATCH):
+                            yield [x[order[i : i + BATCH]] for x in whole]
+
+            learnt, seen = net.learn(net.unflat(given.value), steps(), rate)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([net.flat(learnt)], pa.list_(pa.float32())), pa.array([seen], pa.int64())], names=["w", "seen"])
 
         found = dealt.mapInArrow(scan, "w array<float>, seen long").select("seen", F.posexplode("w").alias("i", "w"))
         mean = found.groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w")).collect()

@@ -271,6 +271,29 @@ def test_attention_gradients_and_normalisation():
     np.testing.assert_allclose(a[:, :-1], b[:, :-1])
 
 
+def test_lm_training_takes_every_slot(corpus, monkeypatch):
+    """Training windows are the scoring windows of all training texts: every slot is a target, in the same context."""
+    import public_tokenizers
+
+    _, df = corpus
+    monkeypatch.setattr(lm_score, "WINDOWS_PER_RUN", 7)
+    path = public_tokenizers.path(lm_score.VOCABULARY)
+    rows = lm_score.prepared(df)
+    slots = lm_score.Slots(path, lm_score.subword_counts(lm_score.word_counts(rows), path))
+    runs = lm_score.training_windows(rows, slots).collect()
+    got = lm_score.window_rows([bytes(r["slots"]) for r in runs], np.array([r["part"] for r in runs]))
+    reader = slots.reader()
+    texts = [(r["text"] or "").encode().lower().split() for r in rows.filter("train").select("text").collect()]
+    whole = [[s for x in reader.of(ws) for s in np.frombuffer(x, "<u2").tolist()] + [attention.END] for ws in texts]
+    inputs, hidden, targets, doc = attention.windows(np.array([s for w in whole for s in w]), np.cumsum([0, *map(len, whole)]))
+    assert int(got[3].sum()) == sum(map(len, whole))
+    key = lambda i, h, t, r: Counter(map(repr, zip(i.tolist(), h.tolist(), t.tolist(), r.tolist(), strict=True)))
+    assert key(*got) == key(inputs, hidden, targets, doc >= 0)
+    batch = lm_score.pa.RecordBatch.from_arrays([lm_score.pa.array([bytes(r["slots"]) for r in runs]), lm_score.pa.array([r["part"] for r in runs])], names=["slots", "part"])
+    chunks = list(lm_score.window_chunks([batch], 100))
+    assert sum(len(c[0]) for c in chunks) == len(inputs) and max(len(c[0]) for c in chunks) <= 100 + 7
+
+
 @pytest.mark.parametrize("frequent", [0, 3, 100_000])
 def test_lm_score(corpus, empty, frequent, monkeypatch):
     rows, df = corpus
