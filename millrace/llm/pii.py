@@ -12,6 +12,7 @@ on the small table of entities and tokens.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, small, stored, text_or_empty
@@ -31,23 +32,30 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 ROUNDS = 3
 #: A pattern needs so many different believed instances, and this confidence; an instance this belief.
 LEAST_INSTANCES, LEAST_CONFIDENCE, LEAST_BELIEF = 3, 0.8, 0.8
-#: Characters before an entity in which its two words are sought.
-LEFT = 300
 #: Parts in which patterns are counted: bounds of a hash of doc_id; together they are all documents.
 PARTS = (0, 1, 8, 64)
-_SPAN = "array<struct<start:int,end:int,value:string,left:string>>"
+_SPAN = "array<struct<start:int,end:int,value:string,word:int>>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All matches with start and end in code points, their text, and what precedes them back to the last match."""
+    """All matches with start and end in code points, their text, and the place among the text's words of the word they begin in."""
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("words"), F.lit(False).alias("open"), F.array().cast(_SPAN).alias("out"))
+    in_word = lambda sign: F.regexp_like(sign, F.lit(WORD))
+
+    def passed(words: Column, open_: Column, piece: Column) -> tuple[Column, Column]:
+        """Words begun up to the end of the piece, and whether the last one may go on behind it."""
+        begun = words + F.regexp_count(piece, F.lit(WORD)) - (open_ & in_word(F.left(piece, F.lit(1)))).cast("int")
+        return begun, F.when(piece == "", open_).otherwise(in_word(F.right(piece, F.lit(1))))
 
     def step(acc: Column, x: Column) -> Column:
         first = acc["at"] + F.char_length(x["gap"])
-        after = first + F.char_length(x["hit"])
-        span = F.struct(first.alias("start"), after.alias("end"), x["hit"].alias("value"), F.substring(x["gap"], -LEFT, LEFT).alias("left"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(after.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
+        end = first + F.char_length(x["hit"])
+        words, open_ = passed(acc["words"], acc["open"], x["gap"])
+        after, still = passed(words, open_, x["hit"])
+        span = F.struct(first.alias("start"), end.alias("end"), x["hit"].alias("value"), (words - open_.cast("int")).alias("word"))
+        new = F.struct(end.alias("at"), after.alias("words"), still.alias("open"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.when(x["hit"].isNull(), acc).otherwise(new)
 
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
@@ -70,25 +78,33 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.filter(_only_if(needs[k], located(text, p)), valid[k]) for k, p in PATTERNS.items()}
 
 
-def _pattern_of(left: Column) -> Column:
-    """Hash of the two whole words before an entity (what is joined to it without space is passed over); null if there are not two."""
-    two = rf"(?:^|[\x20\x09-\x0D])({WORD})[\x20\x09-\x0D]+({WORD})[\x20\x09-\x0D]+[^\x20\x09-\x0D]*$"
-    found = F.regexp_like(left, F.lit(two))
-    return F.when(found, F.xxhash64(F.regexp_extract(left, two, 1), F.regexp_extract(left, two, 2)))
+def _pattern_of(words: Column, word: Column) -> Column:
+    """Hash of the two words of the text before the one an entity begins in; null if there are not two."""
+    return F.when(word >= 2, F.xxhash64(F.get(words, word - 2), F.get(words, word - 1)))
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """rid, doc_id and `items`: base spans and other identifier-like tokens with the pattern before them."""
+    """rid, doc_id and `items`: base spans and other identifier-like tokens with their word's place and the pattern before it."""
     text = text_or_empty()
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), text.alias("text"))
     rows = rows.withColumns(base_spans(F.col("text")))
     tokens = _only_if(F.regexp_like("text", F.lit("[0-9][^0-9]*[0-9]")), located(F.col("text"), TOKEN))
     rows = rows.withColumn("id", tokens)
+    some = F.greatest(*[F.size(k) for k in KINDS]) > 0
+    rows = rows.withColumn("words", F.when(some, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
 
     def tagged(kind: str) -> Column:
         order = F.lit(KINDS.index(kind))
         return F.transform(
-            kind, lambda s: F.struct(s["start"].alias("start"), order.alias("kind"), s["end"].alias("end"), s["value"].alias("value"), _pattern_of(s["left"]).alias("pattern"))
+            kind,
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                order.alias("kind"),
+                s["end"].alias("end"),
+                s["value"].alias("value"),
+                s["word"].alias("word"),
+                _pattern_of(F.col("words"), s["word"]).alias("pattern"),
+            ),
         )
 
     base = F.concat(*[tagged(k) for k in PATTERNS])
@@ -119,9 +135,11 @@ def pattern_totals(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def discover(items: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value): the tokens that confident patterns reveal, among items(value, kind, pattern)."""
+    """(value): the tokens that confident patterns reveal, among items(rid, word, value, kind, pattern). Entities that begin in one word share its occurrence."""
     own = KINDS.index("id")
-    items = items.filter(F.col("pattern").isNotNull()).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind"))
+    share = 1 / F.count(F.lit(1)).over(W.partitionBy("rid", "word"))
+    items = items.filter(F.col("pattern").isNotNull()).withColumn("share", share)
+    items = items.groupBy("pattern", "value").agg(F.sum("share").alias("n"), F.min("kind").alias("kind"))
     items = stored(items)
     wanted = items.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"))
     wanted = stored(wanted.filter(F.col("values") >= LEAST_INSTANCES).select("pattern", "n"))
@@ -135,10 +153,10 @@ def discover(items: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFra
         believed = F.when(F.col("kind") < own, F.lit(1.0)).otherwise(F.coalesce("belief", F.lit(0.0)))
         edges = graph.join(belief, "value", "left").withColumn("believed", believed)
         pattern = edges.groupBy("pattern").agg(
-            (F.sum(F.col("believed") * F.col("n")) / F.first("total")).alias("confidence"),
+            F.try_divide(F.sum(F.col("believed") * F.col("n")), F.first("total")).alias("confidence"),
             F.sum((F.col("believed") >= LEAST_BELIEF).cast("int")).alias("instances"),
         )
-        good = pattern.filter((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("instances") >= LEAST_INSTANCES))
+        good = pattern.filter((F.col("confidence") >= LEAST_CONFIDENCE - 1e-9) & (F.col("instances") >= LEAST_INSTANCES))
         doubt = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))
         fresh = graph.filter(F.col("kind") == own).join(good, "pattern").groupBy("value").agg((1 - F.exp(doubt)).alias("belief"))
         belief = stored(fresh.filter(F.col("belief") >= LEAST_BELIEF))

@@ -199,6 +199,31 @@ def labelled(spark, n=400):
     return spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), labels
 
 
+def test_pii_context_is_of_the_whole_text(spark):
+    far = "x" * 400
+    texts = ["ab a@x.com; mail b@y.com or c@z.com,d@z.com", f"see code {far} AB12345 or CD67890 EF13579\n", "one AB12345", f" \n two {far}\tthree 10.0.0.1\n10.0.0.2 +1 555 123 4567 end 4111 1111 1111 1111 of GH24680 IJ12345", ""]
+    pair = lambda a, b: F.xxhash64(F.lit(a), F.lit(b))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    n = 0
+    for r in pii.entities(rows).collect():
+        ws = list(WORD.finditer(texts[r["doc_id"]]))
+        for i in r["items"]:
+            k = next(k for k, w in enumerate(ws) if w.start() <= i["start"] < w.end())
+            want = spark.range(1).select(pair(ws[k - 2].group(), ws[k - 1].group())).first()[0] if k >= 2 else None
+            assert (i["word"], i["pattern"]) == (k, want), (r["doc_id"], i)
+            n += 1
+    assert n == 14
+
+
+def test_pii_finds_ids_in_plain_lists(spark):
+    # Only one word lies between the last two ids; the pattern before CD67890 also stands before addresses.
+    seeds = [f"write to m{k}@x.com ref AB12345 or n{k}@x.com and" for k in range(20)]
+    rows = list(enumerate([*seeds, "mail ref AB12345 or CD67890 there"]))
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r["doc_id"]: r["spans"] for r in got}
+    assert "id:20:27" in found[len(rows) - 1]
+
+
 @pytest.mark.parametrize(("score", "place", "folds", "held", "least"), [(quality_classifier.score_quality, 1, 5, 0, 0.3), (toxicity.score_toxicity, 2, 3, 1, 0.7)])
 def test_classifiers(spark, corpus, empty, score, place, folds, held, least):
     docs, labels, rows = labelled(spark)
