@@ -239,6 +239,11 @@ def simhash_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     is sought; a component of such rows only has a null id. Repeated rows get the
     same answer. An empty table gives no rows; other columns are not read.
     """
+    return rooted_groups(docs, width, radius).drop("root")
+
+
+def rooted_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """simhash_groups with `root`, a fingerprint that names the component whatever its ids."""
 
     def scan(batches):
         for batch, texts in blocks(batches):
@@ -252,17 +257,17 @@ def simhash_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     label = components(links(nodes.select("fp"), radius), "fp", "linked")
     linked = label.join(nodes, F.col("node") == F.col("fp"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = label.join(least, "root").select("node", "component_id")
+    named = label.join(least, "root").select("node", "root", "component_id")
     answer = nodes.join(named, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("fp_"), F.coalesce("component_id", "least_id").alias("component_id")
+        F.col("fp").alias("fp_"), F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id")
     )
     answer = stored(answer)
-    return rows.join(answer, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id", "text_hash")
+    return rows.join(answer, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id", "text_hash", "root")
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of docs for each component: that of its smallest doc_id."""
-    groups = simhash_groups(docs)
+    """One row of docs for each component: that of its smallest doc_id; a row without id where no row has one."""
+    groups = rooted_groups(docs)
     stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = stays.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    return only_kept(docs, one)
+    one = stays.groupBy("root", "doc_id").agg(F.min("text_hash").alias("text_hash"))
+    return only_kept(docs, one.drop("root"))

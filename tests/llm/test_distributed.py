@@ -127,6 +127,16 @@ def test_simhash_groups(corpus, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def test_simhash_stage_keeps_one_row_of_each_component(spark):
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 10_000, 60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, a.upper()), (None, b), (7, c), (7, d), (9, d.upper()), (None, e), (3, e.upper()), (3, e.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"].lower()) for r in simhash.simhash_stage(None, df, "").collect())
+    assert got == Counter([(None, a), (None, b), (7, c), (7, d), (3, e)])
+
+
 def test_running_sums(spark):
     rows = [(f"g{i % 2}", hashlib.md5(str(i).encode()).hexdigest(), i, i % 5) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, h string, k long, v long")
