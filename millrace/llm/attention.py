@@ -1,9 +1,10 @@
 """A small causal self-attention model in numpy: forward pass, gradients, training.
 
 Inputs are windows of LENGTH slots; the last STRIDE of them predict their next slot.
-One attention head and one hidden layer feed a two-level softmax: the class of the
-next slot (slots are sorted by frequency and cut into classes), then the slot in its
-class. Both start from the corpus frequencies.
+The prediction is a two-level softmax: the class of the next slot, then the slot in
+its class. Both levels start from the logs of the corpus' smoothed slot-pair counts
+(fixed tables, by the slot before); one attention head and one hidden layer learn
+what the wider context adds to them.
 """
 
 from __future__ import annotations
@@ -15,10 +16,15 @@ import numpy as np
 SLOTS, CLASS_SIZE = 1024, 32
 CLASSES = SLOTS // CLASS_SIZE
 WIDTH, HIDDEN = 16, 32
-LENGTH, STRIDE = 24, 16
+LENGTH, STRIDE = 32, 24
 #: The slot that ends a text, and stands before it.
 END = 0
+#: Weight of the slot frequencies in a slot's pair counts.
+PULL = 5.0
+_SKIP = LENGTH - STRIDE
 _NEVER = np.float32(-1e9)
+#: Attention scores and logits are held within this, so that no exponential overflows and no sum vanishes.
+_MOST = np.float32(60)
 
 
 def keep_memory() -> None:
@@ -32,27 +38,34 @@ def keep_memory() -> None:
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
+    """The weights that are learnt."""
     d = WIDTH
     return {
-        "embed": (SLOTS, d), "place": (LENGTH, d), "q": (d, d), "k": (d, d), "v": (d, d), "o": (d, d), "up": (d, HIDDEN), "up_bias": (HIDDEN,),
-        "down": (HIDDEN, d), "group": (d, CLASSES), "group_bias": (CLASSES,), "member": (CLASSES, d, CLASS_SIZE), "member_bias": (CLASSES, CLASS_SIZE),
+        "embed": (SLOTS, d), "place": (LENGTH, d), "q": (d, d), "kv": (d, 2 * d), "o": (d, d), "up": (d, HIDDEN), "up_bias": (HIDDEN,),
+        "down": (HIDDEN, d), "group": (d, CLASSES), "member": (CLASSES, d, CLASS_SIZE),
     }
 
 
-def initial(counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
-    """Weights whose predictions are the smoothed slot frequencies, with small random mixing."""
+def initial(seed: int = 5) -> dict[str, np.ndarray]:
+    """Small random weights, which hardly move the predictions of the pair tables."""
     rng = np.random.default_rng(seed)
     w = {n: (rng.standard_normal(s) * 0.15).astype(np.float32) for n, s in shapes().items()}
-    share = (counts + 0.5) / (counts + 0.5).sum()
-    by_class = share.reshape(CLASSES, CLASS_SIZE)
-    w["group_bias"] = np.log(by_class.sum(axis=1)).astype(np.float32)
-    w["member_bias"] = np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32)
-    w["up_bias"] = np.zeros(HIDDEN, np.float32)
+    w["up_bias"][:] = 0
     for n in ("group", "member"):
         w[n] *= np.float32(0.2)
     return w
 
 
+def pair_tables(pairs: np.ndarray) -> dict[str, np.ndarray]:
+    """Log shares of each class after each slot, and of each member of a class, from counts (slot before, slot)."""
+    u = pairs.sum(axis=0) + 0.5
+    share = (pairs + PULL * u / u.sum()) / (pairs.sum(axis=1, keepdims=True) + PULL)
+    by_class = share.reshape(SLOTS, CLASSES, CLASS_SIZE)
+    group = by_class.sum(axis=2)
+    member = np.log(by_class / group[:, :, None]).reshape(-1, CLASS_SIZE)
+    return {"pair_group": np.log(group).astype(np.float32), "pair_member": member.astype(np.float32)}
+
+
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([w[n].ravel() for n in shapes()])
 
@@ -90,170 +103,124 @@ def windows(slots: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return inputs, hidden, targets, np.where(real, doc[:, None], -1)
 
 
-_CAUSAL = np.where(np.arange(LENGTH)[None, :] <= np.arange(LENGTH - STRIDE, LENGTH)[:, None], np.float32(0), _NEVER)
+_CAUSAL = np.where(np.arange(LENGTH)[None, :] <= np.arange(_SKIP, LENGTH)[:, None], np.float32(0), _NEVER)
 
 
-def _forward(w: dict[str, np.ndarray], inputs: np.ndarray, hidden: np.ndarray) -> tuple:
-    x = w["embed"][inputs]
-    x += w["place"]
-    recent = x[:, LENGTH - STRIDE :]
-    q, k, v = recent @ w["q"], x @ w["k"], x @ w["v"]
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
-    a += _CAUSAL
-    if hidden.any():
-        a += np.where(hidden, _NEVER, np.float32(0))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    mixed = a @ v
-    h1 = recent + mixed @ w["o"]
-    up = np.maximum(h1 @ w["up"] + w["up_bias"], 0)
-    h = h1 + up @ w["down"]
-    return x, q, k, v, a, mixed, h1, up, h
+def _row_sums(a: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, as a matrix product."""
+    return (a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)).reshape(a.shape[:-1])
 
 
-def _hidden_states(w: dict[str, np.ndarray], inputs: np.ndarray, hidden: np.ndarray) -> np.ndarray:
-    """What _forward ends with, for scoring: scores are shifted only if that is needed, and weights divided after mixing."""
-    x = w["embed"][inputs]
+def _forward(w: dict[str, np.ndarray], inputs: np.ndarray, hidden: np.ndarray) -> tuple:
+    n, d = len(inputs), WIDTH
+    x = w["embed"].take(inputs.ravel(), axis=0).reshape(n, LENGTH, d)
     x += w["place"]
-    flat_x = x.reshape(-1, WIDTH)
-    recent = x[:, LENGTH - STRIDE :]
-    q = recent @ (w["q"] * np.float32(WIDTH**-0.5))
-    k = (flat_x @ w["k"]).reshape(x.shape)
-    v = (flat_x @ w["v"]).reshape(x.shape)
-    a = q @ k.transpose(0, 2, 1)
+    recent = x[:, _SKIP:].reshape(-1, d)
+    q = (recent @ (w["q"] * x.dtype.type(d**-0.5))).reshape(n, STRIDE, d)
+    kv = (x.reshape(-1, d) @ w["kv"]).reshape(n, LENGTH, 2 * d)
+    a = q @ kv[:, :, :d].transpose(0, 2, 1)
+    np.clip(a, -_MOST, _MOST, out=a)
     a += _CAUSAL
     at = np.flatnonzero(hidden.any(axis=1))
     if len(at):
         a[at] += np.where(hidden[at], _NEVER, np.float32(0))[:, None, :]
-    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        e = np.exp(a)
-        total = e.sum(axis=2, keepdims=True)
-        mixed = (e @ v) / total
-    if not np.isfinite(mixed).all():
-        return _forward(w, inputs, hidden)[-1]
-    h = recent + mixed @ w["o"]
-    up = h.reshape(-1, WIDTH) @ w["up"]
+    np.exp(a, out=a)
+    a /= _row_sums(a)[:, :, None]
+    mixed = (a @ kv[:, :, d:]).reshape(-1, d)
+    h1 = recent + mixed @ w["o"]
+    up = h1 @ w["up"]
     up += w["up_bias"]
     np.maximum(up, 0, out=up)
-    return h + (up @ w["down"]).reshape(h.shape)
-
-
-def _shares(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The softmax of each row and the log of its summed exponentials; rows are shifted only if that is needed."""
-    one = np.ones(z.shape[1], z.dtype)
-    with np.errstate(over="ignore", divide="ignore"):
-        p = np.exp(z)
-        total = p @ one
-        out = np.log(total)
-    if not np.isfinite(out).all():
-        top = z.max(axis=1)
-        p = np.exp(z - top[:, None])
-        total = p @ one
-        out = np.log(total) + top
-    p /= total[:, None]
-    return p, out
-
-
-def _log_sums(z: np.ndarray) -> np.ndarray:
-    """Log of the summed exponentials of each row; rows are shifted only if that is needed."""
-    with np.errstate(over="ignore", divide="ignore"):
-        total = np.exp(z).sum(axis=1)
-        out = np.log(total)
-    if not np.isfinite(out).all():
-        top = z.max(axis=1)
-        out = np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
-    return out
+    return x, recent, q, kv, a, mixed, h1, up, h1 + up @ w["down"]
 
 
-def log_probabilities(w: dict[str, np.ndarray], inputs: np.ndarray, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target, in the shape of targets."""
-    h = _hidden_states(w, inputs, hidden).reshape(-1, WIDTH)
-    t = targets.ravel()
-    order = np.argsort(t.astype(np.int16), kind="stable")
-    h, t = h[order], t[order]
+def _levels(w: dict[str, np.ndarray], h: np.ndarray, before: np.ndarray, t: np.ndarray):
+    """For each target: class logits, their exponentials and sums; the same for members, with rows sorted by class."""
     group, member = t // CLASS_SIZE, t % CLASS_SIZE
-    rows = np.arange(len(t))
     z = h @ w["group"]
-    z += w["group_bias"]
-    got = z[rows, group] - _log_sums(z)
-    cut = np.searchsorted(group, np.arange(CLASSES + 1))
-    m = np.empty((len(t), CLASS_SIZE), h.dtype)
-    for c in range(CLASSES):
-        i, j = cut[c], cut[c + 1]
-        if i < j:
-            np.matmul(h[i:j], w["member"][c], out=m[i:j])
-            m[i:j] += w["member_bias"][c]
-    got += m[rows, member] - _log_sums(m)
-    out = np.empty_like(got)
-    out[order] = got
+    z += w["pair_group"].take(before, axis=0)
+    np.clip(z, -_MOST, _MOST, out=z)
+    e = np.exp(z)
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    hs = h.take(order, axis=0)
+    cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    runs = [(c, cut[c], cut[c + 1]) for c in range(CLASSES) if cut[c] < cut[c + 1]]
+    m = w["pair_member"].take((before * CLASSES + group)[order], axis=0).astype(h.dtype, copy=False)
+    for c, i, j in runs:
+        m[i:j] += hs[i:j] @ w["member"][c]
+    np.clip(m, -_MOST, _MOST, out=m)
+    em = np.exp(m)
+    return group, z, e, _row_sums(e), order, runs, hs, member[order], m, em, _row_sums(em)
+
+
+def log_probabilities(w: dict[str, np.ndarray], inputs: np.ndarray, hidden: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural log probability of each target, in the shape of targets."""
+    h = _forward(w, inputs, hidden)[-1]
+    group, z, _, total, order, _, _, member, m, _, total_m = _levels(w, h, inputs[:, _SKIP:].ravel(), targets.ravel())
+    rows = np.arange(len(h))
+    out = z[rows, group] - np.log(total)
+    out[order] += m[rows, member] - np.log(total_m)
     return out.reshape(targets.shape)
 
 
 def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, hidden: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the real targets and its gradient."""
-    x, q, k, v, a, mixed, h1, up, h = _forward(w, inputs, hidden)
-    n = np.float32(max(1, int(real.sum())))
-    t, weight = targets.ravel(), (real.ravel() / n).astype(np.float32)
-    group, member = t // CLASS_SIZE, t % CLASS_SIZE
+    """Mean loss over the real targets and its gradient by the learnt weights."""
+    n, d = len(inputs), WIDTH
+    x, recent, q, kv, a, mixed, h1, up, h = _forward(w, inputs, hidden)
+    group, z, e, total, order, runs, hs, member, m, em, total_m = _levels(w, h, inputs[:, _SKIP:].ravel(), targets.ravel())
+    weight = (real.ravel() / max(1, int(real.sum()))).astype(h.dtype)
+    rows, sorted_weight = np.arange(len(h)), weight[order]
+    loss = -float(((z[rows, group] - np.log(total)) * weight).sum() + ((m[rows, member] - np.log(total_m)) * sorted_weight).sum())
     g = {}
-    hf = h.reshape(-1, WIDTH)
-    rows = np.arange(len(t))
-    z = hf @ w["group"] + w["group_bias"]
-    d, sums = _shares(z)
-    loss = -float(((z[rows, group] - sums) * weight).sum())
-    d[rows, group] -= 1
-    d *= weight[:, None]
-    g["group"], g["group_bias"] = hf.T @ d, d.sum(axis=0)
-    dh = d @ w["group"].T
-    g["member"], g["member_bias"] = np.zeros_like(w["member"]), np.zeros_like(w["member_bias"])
-    order = np.argsort(group.astype(np.int16), kind="stable")
-    hs, member, weight = hf[order], member[order], weight[order]
-    cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    some = [(c, cut[c], cut[c + 1]) for c in range(CLASSES) if cut[c] < cut[c + 1]]
-    z = np.empty((len(t), CLASS_SIZE), hf.dtype)
-    for c, i, j in some:
-        np.matmul(hs[i:j], w["member"][c], out=z[i:j])
-        z[i:j] += w["member_bias"][c]
-    d, sums = _shares(z)
-    loss -= float(((z[rows, member] - sums) * weight).sum())
-    d[rows, member] -= 1
-    d *= weight[:, None]
-    back = np.empty_like(hs)
-    for c, i, j in some:
-        g["member"][c], g["member_bias"][c] = hs[i:j].T @ d[i:j], d[i:j].sum(axis=0)
-        np.matmul(d[i:j], w["member"][c].T, out=back[i:j])
+    e *= (weight / total)[:, None]
+    e[rows, group] -= weight
+    g["group"] = h.T @ e
+    dh = e @ w["group"].T
+    em *= (sorted_weight / total_m)[:, None]
+    em[rows, member] -= sorted_weight
+    g["member"], back = np.zeros_like(w["member"]), np.empty_like(hs)
+    for c, i, j in runs:
+        g["member"][c] = hs[i:j].T @ em[i:j]
+        np.matmul(em[i:j], w["member"][c].T, out=back[i:j])
     dh[order] += back
-    flat2 = lambda z: z.reshape(-1, z.shape[-1])
-    d_up = (dh @ w["down"].T) * (flat2(up) > 0)
-    g["down"], g["up"], g["up_bias"] = flat2(up).T @ dh, flat2(h1).T @ d_up, d_up.sum(axis=0)
-    dh1 = (dh + d_up @ w["up"].T).reshape(h1.shape)
-    g["o"] = flat2(mixed).T @ flat2(dh1)
-    d_mixed = dh1 @ w["o"].T
-    da = d_mixed @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ d_mixed
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    recent = x[:, LENGTH - STRIDE :]
-    g["q"], g["k"], g["v"] = flat2(recent).T @ flat2(dq), flat2(x).T @ flat2(dk), flat2(x).T @ flat2(dv)
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, LENGTH - STRIDE :] += dq @ w["q"].T + dh1
+    du = dh @ w["down"].T
+    du *= up > 0
+    g["down"], g["up"], g["up_bias"] = up.T @ dh, h1.T @ du, np.ones(len(du), du.dtype) @ du
+    dh += du @ w["up"].T
+    g["o"] = mixed.T @ dh
+    dm = (dh @ w["o"].T).reshape(n, STRIDE, d)
+    d_kv = np.empty_like(kv)
+    np.matmul(a.transpose(0, 2, 1), dm, out=d_kv[:, :, d:])
+    ds = dm @ kv[:, :, d:].transpose(0, 2, 1)
+    ds -= _row_sums(mixed.reshape(dm.shape) * dm)[:, :, None]
+    ds *= a
+    np.matmul(ds.transpose(0, 2, 1), q, out=d_kv[:, :, :d])
+    dq = (ds @ kv[:, :, :d]).reshape(-1, d) * x.dtype.type(d**-0.5)
+    flat_kv = d_kv.reshape(-1, 2 * d)
+    g["q"], g["kv"] = recent.T @ dq, x.reshape(-1, d).T @ flat_kv
+    dx = (flat_kv @ w["kv"].T).reshape(n, LENGTH, d)
+    dh += dq @ w["q"].T
+    dx[:, _SKIP:] += dh.reshape(n, STRIDE, d)
     g["place"] = dx.sum(axis=0)
-    at = (inputs.ravel() * WIDTH)[:, None] + np.arange(WIDTH)
-    g["embed"] = np.bincount(at.ravel(), weights=dx.ravel(), minlength=SLOTS * WIDTH).reshape(SLOTS, WIDTH).astype(dx.dtype)
+    at = inputs.ravel()
+    by = np.argsort(at.astype(np.int16), kind="stable")
+    at = at[by]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    g["embed"] = np.zeros_like(w["embed"])
+    g["embed"][at[first]] = np.add.reduceat(dx.reshape(-1, d).take(by, axis=0), first, axis=0)
     return loss, g
 
 
 def learn(w: dict[str, np.ndarray], batches, rate: float = 0.01) -> tuple[dict[str, np.ndarray], int]:
     """Adam over batches of (inputs, hidden, targets, real); the weights after them and how many windows were seen."""
-    w = {n: v.copy() for n, v in w.items()}
-    m, s = {n: np.zeros_like(v) for n, v in w.items()}, {n: np.zeros_like(v) for n, v in w.items()}
+    w = {n: v.copy() if n in shapes() else v for n, v in w.items()}
+    own = {n: w[n] for n in shapes()}
+    m, s = {n: np.zeros_like(v) for n, v in own.items()}, {n: np.zeros_like(v) for n, v in own.items()}
     seen = 0
     for i, batch in enumerate(batches, 1):
         _, g = gradients(w, *batch)
         seen += len(batch[0])
-        for n, v in w.items():
+        for n, v in own.items():
             m[n] += 0.1 * (g[n] - m[n])
             s[n] += 0.01 * (g[n] * g[n] - s[n])
             v -= np.float32(rate) * (m[n] / (1 - 0.9**i)) / (np.sqrt(s[n] / (1 - 0.99**i)) + np.float32(1e-8))

@@ -3,10 +3,12 @@
 Words of the whole table are counted first. From the counts come the base score (the
 most frequent words, a bounded number, are broadcast; the others meet their counts in
 an ordinary join) and the frequencies of subword ids. The most frequent ids and all
-single bytes become the model's slots; other ids are spelled in bytes. Training and
-scoring cut each text into the same overlapping windows, in which every slot is a
-target once; in each round learners go over all windows of their own partitions, a
-bounded number in memory at a time, and their weights are averaged.
+single bytes become the model's slots; other ids are spelled in bytes. Pairs of slots
+are counted over all training texts; the model starts from them. Training and scoring
+cut each text into the same overlapping windows, in which every slot is a target
+once. Training goes over every window once, dealt over ROUNDS rounds: in each, learners
+go over that round's windows of their own partitions, a bounded number in memory at a
+time, and their weights are averaged.
 """
 
 from __future__ import annotations
@@ -38,9 +40,12 @@ FOLDS, HELD_OUT = 10, 0
 FREQUENT = 200_000
 #: Training texts are dealt to the learners in runs of so many windows.
 WINDOWS_PER_RUN = 64
-#: Windows dealt to one learner's partition, and windows that a learner holds at a time.
-WINDOWS_PER_LEARNER, BATCH = 65_536, 96
-RATES = (0.012, 0.006, 0.002)
+#: Windows dealt to one learner's partition, windows that a learner holds at a time, and those of one step.
+WINDOWS_PER_LEARNER, HELD, BATCH = 65_536, 32_768, 192
+#: A table of fewer windows than two learners' share is gone over more than once, so many times at most.
+MOST_PASSES = 8
+#: The learning rate of each round.
+RATES = (0.016, 0.012, 0.008, 0.005, 0.002)
 SCORE_BATCH = 512
 FLUSH = 400_000
 
@@ -67,7 +72,7 @@ class Slots:
         t = encoding(path)
         self.path = path
         letters = {t.encode_single_token(bytes([b])) for b in range(256)}
-        others = sorted((i for i in counts if i not in letters), key=lambda i: (-counts[i], i))[: net.SLOTS - 1 - len(letters)]
+        others = sorted((i for i in counts if i not in letters), key=lambda i: (-counts[i], i))[: net.SLOTS - net.CLASS_SIZE - len(letters)]
         kept, spelled = letters | set(others), {}
         total: Counter = Counter()
         for i, n in counts.items():
@@ -75,10 +80,14 @@ class Slots:
                 spelled[i] = bytes_of(t, i)
             for j in spelled.get(i, [i]):
                 total[j] += n
-        order = sorted(kept, key=lambda i: (-total[i], i))
-        slot = {i: s for s, i in enumerate(order, 1)}
+        # Slots that begin a word (their bytes begin with its space), then, from a class edge on, those that go on in it.
+        order = sorted(kept, key=lambda i: (not begins(t, i), -total[i], i))
+        n_begin = sum(begins(t, i) for i in kept)
+        gap = -(1 + n_begin) % net.CLASS_SIZE
+        slot = {i: s + (gap if s > n_begin else 0) for s, i in enumerate(order, 1)}
         self.table = {i: [slot[j] for j in spelled[i]] if i in spelled else [slot[i]] for i in kept | set(spelled)}
-        self.slot, self.totals = slot, np.array([0, *(total[i] for i in order)] + [0] * (net.SLOTS - 1 - len(order)), dtype=np.float64)
+        self.slot = slot
+        self.n_slots = sum(n * len(self.table[i]) for i, n in counts.items())
         self.key = hashlib.md5(repr(order).encode()).hexdigest()
 
     def reader(self) -> SlotReader:
@@ -89,6 +98,10 @@ class Slots:
         return kept.slots
 
 
+def begins(t: tiktoken.Encoding, i: int) -> bool:
+    return t.decode_single_token_bytes(i)[:1] == b" "
+
+
 def bytes_of(t: tiktoken.Encoding, i: int) -> list[int]:
     return [t.encode_single_token(bytes([b])) for b in t.decode_single_token_bytes(i)]
 
@@ -183,15 +196,17 @@ def subword_counts(counts: DataFrame, path: str) -> dict[int, int]:
 
 
 def training_windows(rows: DataFrame, slots: Slots) -> DataFrame:
-    """(slots, part): all slots of every training text and its end, in runs of WINDOWS_PER_RUN windows at most.
+    """(slots, part, turn): all slots of every training text and its end, in runs of WINDOWS_PER_RUN windows at most.
 
     A run of part 0 begins its text. One of part 1 goes on in it, and repeats the slots of the window before as context.
+    turn is the round in which the run is learnt.
     """
     window = 2 * net.STRIDE  # bytes
 
     def scan(batches):
         reader = slots.reader()
         end = np.array([net.END], dtype="<u2").tobytes()
+        made = 0
         for _, texts in blocks(batches):
             runs, part = [], []
             for t in texts:
@@ -199,9 +214,33 @@ def training_windows(rows: DataFrame, slots: Slots) -> DataFrame:
                 for i in range(0, len(whole), WINDOWS_PER_RUN * window):
                     runs.append(whole[max(0, i - window) : i + WINDOWS_PER_RUN * window])
                     part.append(int(i > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.binary()), pa.array(part, pa.int32())], names=["slots", "part"])
+            turn = (made + np.arange(len(runs))) % len(RATES)
+            made += len(runs)
+            arrays = [pa.array(runs, pa.binary()), pa.array(part, pa.int32()), pa.array(turn, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["slots", "part", "turn"])
 
-    return rows.filter("train").select("text").mapInArrow(scan, "slots binary, part int")
+    return rows.filter("train").select("text").mapInArrow(scan, "slots binary, part int, turn int")
+
+
+def pair_counts(runs: DataFrame) -> np.ndarray:
+    """How often each slot follows each other one in the training texts; every slot counts once."""
+
+    def scan(batches):
+        total = np.zeros(net.SLOTS * net.SLOTS, np.int64)
+        for b in batches:
+            for r, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(r, "<u2").astype(np.int64)
+                before = np.concatenate(([net.END], s[:-1]))
+                own = slice(net.STRIDE * p, None)
+                cell, n = np.unique(before[own] * net.SLOTS + s[own], return_counts=True)
+                total[cell] += n
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["cell", "n"])
+
+    found = runs.select("slots", "part").mapInArrow(scan, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(net.SLOTS * net.SLOTS)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(net.SLOTS, net.SLOTS)
 
 
 def window_rows(runs: list[bytes], part: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -230,27 +269,27 @@ def window_chunks(batches, most: int):
         yield window_rows(runs, np.array(part))
 
 
-def train(rows: DataFrame, slots: Slots, n_ends: int) -> np.ndarray:
-    """Weights after all rounds; each round goes over every window. A learner takes one partition; averages are weighted by windows seen."""
+def train(rows: DataFrame, slots: Slots, n_ends: int) -> dict[str, np.ndarray]:
+    """The model after all rounds. A learner takes one partition; averages are weighted by windows seen."""
     spark = rows.sparkSession
-    totals = slots.totals.copy()
-    totals[net.END] = n_ends
-    weights = net.flat(net.initial(totals))
     if not n_ends:
-        return weights
-    learners = max(1, -(-int(totals.sum()) // (net.STRIDE * WINDOWS_PER_LEARNER)))
+        return net.initial() | net.pair_tables(np.zeros((net.SLOTS, net.SLOTS)))
+    # Every window is short of STRIDE slots at most once a text.
+    n = -(-(slots.n_slots + n_ends) // net.STRIDE)
+    learners = -(-n // WINDOWS_PER_LEARNER)
     dealt = stored(training_windows(rows, slots).repartition(learners))  # in turn, so that copies of a text do not gather in one learner
-    n = dealt.agg(F.sum(F.ceil(F.length("slots") / (2 * net.STRIDE)) - F.col("part"))).first()[0]
-    passes = max(1, learners * WINDOWS_PER_LEARNER // n)  # a small table is gone over again
-    most = WINDOWS_PER_LEARNER
-    for rate in RATES:
-        given = spark.sparkContext.broadcast(weights)
+    tables = net.pair_tables(pair_counts(dealt))
+    passes = max(1, min(MOST_PASSES, 2 * WINDOWS_PER_LEARNER // n))  # a small table is gone over again
+    weights = net.flat(net.initial())
+    for turn, rate in enumerate(RATES):
+        given = spark.sparkContext.broadcast((weights, tables))
 
         def scan(batches, given=given, rate=rate):
             net.keep_memory()
+            weights, tables = given.value
 
             def steps():
-                for k, whole in enumerate(window_chunks(batches, most)):
+                for k, whole in enumerate(window_chunks(batches, HELD)):
                     size = len(whole[0])
                     rng = np.random.default_rng((size, k))
                     for _ in range(passes):
@@ -258,16 +297,18 @@ def train(rows: DataFrame, slots: Slots, n_ends: int) -> np.ndarray:
                         for i in range(0, size, BATCH):
                             yield [x[order[i : i + BATCH]] for x in whole]
 
-            learnt, seen = net.learn(net.unflat(given.value), steps(), rate)
+            learnt, seen = net.learn(net.unflat(weights) | tables, steps(), rate)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([net.flat(learnt)], pa.list_(pa.float32())), pa.array([seen], pa.int64())], names=["w", "seen"])
 
-        found = dealt.mapInArrow(scan, "w array<float>, seen long").select("seen", F.posexplode("w").alias("i", "w"))
-        mean = found.groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w")).collect()
-        for r in mean:
-            weights[r["i"]] = round(r["w"], 6)
+        mine = dealt.filter(F.col("turn") == turn).select("slots", "part")
+        found = mine.mapInArrow(scan, "w array<float>, seen long").select("seen", F.posexplode("w").alias("i", "w"))
+        mean = found.groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w")).toArrow()
+        if mean.num_rows:
+            weights = weights.copy()
+            weights[mean.column("i").to_numpy()] = np.round(mean.column("w").to_numpy(), 6)
         given.unpersist()
-    return weights
+    return net.unflat(weights) | tables
 
 
 def log10_share(c: Column | int, n: int, v: int):
@@ -306,14 +347,13 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int =
     n, v = sums[0] + n_ends, sums[1] + int(n_ends > 0)
     known = {bytes(r["word"]): r["c"] for r in frequent_words(counts, frequent).collect()}
     slots = Slots(path, subword_counts(counts, path))
-    weights = train(rows, slots, n_ends)
-    shared = spark.sparkContext.broadcast((known, slots, weights))
+    shared = spark.sparkContext.broadcast((known, slots, train(rows, slots, n_ends)))
     end_log = log10_share(n_ends, n, v)
 
     def scan(batches):
         net.keep_memory()
-        known, slots, weights = shared.value
-        reader, w = slots.reader(), net.unflat(weights)
+        known, slots, w = shared.value
+        reader = slots.reader()
         end = np.array([net.END], dtype="<u2").tobytes()
         for batch, texts in blocks(batches):
             ids: dict[bytes, int] = {}

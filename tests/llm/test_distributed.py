@@ -249,14 +249,17 @@ def test_sharding(corpus, empty, tmp_path):
 
 def test_attention_gradients_and_normalisation():
     rng = np.random.default_rng(0)
-    w = {n: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for n, v in attention.initial(np.arange(attention.SLOTS)[::-1]).items()}
+    tables = attention.pair_tables(rng.integers(0, 4, (attention.SLOTS, attention.SLOTS)))
+    w = {n: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for n, v in attention.initial().items()}
+    w |= {n: v.astype(np.float64) for n, v in tables.items()}
     slots, bounds = rng.integers(1, attention.SLOTS, 61), np.array([0, 5, 5, 60, 61])
     i, h, t, d = attention.windows(slots, bounds)
     assert sorted(d[d >= 0].tolist()) == [0] * 5 + [2] * 55 + [3]
     assert np.concatenate([t[d == k] for k in (0, 2, 3)]).tolist() == slots.tolist()
     loss, g = attention.gradients(w, i, h, t, d >= 0)
     assert loss == pytest.approx(-attention.log_probabilities(w, i, h, t)[d >= 0].mean())
-    for n, v in w.items():
+    for n in attention.shapes():
+        v = w[n]
         at = np.unravel_index(np.abs(g[n]).argmax(), v.shape)
         old = v[at]
         v[at] = old + 1e-5
@@ -268,11 +271,9 @@ def test_attention_gradients_and_normalisation():
     # All continuations of a context have probability one together.
     every = np.arange(attention.SLOTS)
     total = 0.0
-    for s in every[:: attention.STRIDE]:
-        targets = np.broadcast_to(every[s], (1, attention.STRIDE)).copy()
-        for k in range(attention.STRIDE):
-            targets[0, -1] = every[s + k]
-            total += math.exp(attention.log_probabilities(w, i[2:3], h[2:3], targets)[0, -1])
+    for s in every:
+        targets = np.full((1, attention.STRIDE), s)
+        total += math.exp(attention.log_probabilities(w, i[1:2], h[1:2], targets)[0, -1])
     assert total == pytest.approx(1, rel=1e-6)
     # A prediction sees earlier slots only.
     later = i.copy()
@@ -291,12 +292,17 @@ def test_lm_training_takes_every_slot(corpus, monkeypatch):
     rows = lm_score.prepared(df)
     slots = lm_score.Slots(path, lm_score.subword_counts(lm_score.word_counts(rows), path))
     runs = lm_score.training_windows(rows, slots).collect()
+    assert {r["turn"] for r in runs} == set(range(len(lm_score.RATES)))
     got = lm_score.window_rows([bytes(r["slots"]) for r in runs], np.array([r["part"] for r in runs]))
     reader = slots.reader()
     texts = [(r["text"] or "").encode().lower().split() for r in rows.filter("train").select("text").collect()]
     whole = [[s for x in reader.of(ws) for s in np.frombuffer(x, "<u2").tolist()] + [attention.END] for ws in texts]
     inputs, hidden, targets, doc = attention.windows(np.array([s for w in whole for s in w]), np.cumsum([0, *map(len, whole)]))
     assert int(got[3].sum()) == sum(map(len, whole))
+    before = np.concatenate([[attention.END, *w[:-1]] for w in whole])
+    pairs = np.zeros((attention.SLOTS, attention.SLOTS))
+    np.add.at(pairs, (before, [s for w in whole for s in w]), 1)
+    assert (lm_score.pair_counts(lm_score.training_windows(rows, slots)) == pairs).all() and pairs.sum() == slots.n_slots + len(whole)
     key = lambda i, h, t, r: Counter(map(repr, zip(i.tolist(), h.tolist(), t.tolist(), r.tolist(), strict=True)))
     assert key(*got) == key(inputs, hidden, targets, doc >= 0)
     batch = lm_score.pa.RecordBatch.from_arrays([lm_score.pa.array([bytes(r["slots"]) for r in runs]), lm_score.pa.array([r["part"] for r in runs])], names=["slots", "part"])
@@ -304,6 +310,66 @@ def test_lm_training_takes_every_slot(corpus, monkeypatch):
     assert sum(len(c[0]) for c in chunks) == len(inputs) and max(len(c[0]) for c in chunks) <= 100 + 7
 
 
+def test_classes_hold_either_beginnings_or_rests_of_words():
+    import public_tokenizers
+
+    path = public_tokenizers.path(lm_score.VOCABULARY)
+    words = [b"the", b"stones", b"river", "caf\u00e9s".encode(), b"x9-unheard", b"zzzq"]
+    t = lm_score.encoding(path)
+    slots = lm_score.Slots(path, Counter(i for w in words for i in lm_score.subwords(t, w)))
+    first = {int(np.frombuffer(x, "<u2")[0]) // attention.CLASS_SIZE for x in slots.reader().of(words)}
+    rest = {int(s) // attention.CLASS_SIZE for x in slots.reader().of(words) for s in np.frombuffer(x, "<u2")[1:]}
+    assert 0 in first and not first & rest and max(slots.slot.values()) < attention.SLOTS
+
+
+def naive_log10(w, slots):
+    """The probability of a text slot by slot, in plain loops."""
+    total, d = 0.0, attention.WIDTH
+    skip = attention.LENGTH - attention.STRIDE
+    for p, target in enumerate(slots):
+        start = p // attention.STRIDE * attention.STRIDE - skip
+        x = [(w["embed"][attention.END if j == 0 else slots[j - 1]] + w["place"][j - start]).astype(float) for j in range(max(0, start), p + 1)]
+        k, v = zip(*[(e @ w["kv"][:, :d], e @ w["kv"][:, d:]) for e in x], strict=True)
+        a = np.exp([float(x[-1] @ w["q"] @ e) / math.sqrt(d) for e in k])
+        h = x[-1] + sum(s * e for s, e in zip(a / a.sum(), v, strict=True)) @ w["o"]
+        h = h + np.maximum(h @ w["up"] + w["up_bias"], 0) @ w["down"]
+        before = attention.END if p == 0 else slots[p - 1]
+        group, member = divmod(target, attention.CLASS_SIZE)
+        z = np.exp(h @ w["group"] + w["pair_group"][before])
+        m = np.exp(h @ w["member"][group] + w["pair_member"][before * attention.CLASSES + group])
+        total += math.log10(z[group] / z.sum()) + math.log10(m[member] / m.sum())
+    return total
+
+
+def test_lm_score_against_plain_loops(corpus, monkeypatch):
+    """score is the trained model's log10 probability of the whole text, window by window."""
+    _, df = corpus
+    kept = {}
+    train, of = lm_score.train, lm_score.Slots
+
+    def caught(rows, slots, n_ends):
+        kept["w"], kept["slots"] = train(rows, slots, n_ends), slots
+        return kept["w"]
+
+    monkeypatch.setattr(lm_score, "train", caught)
+    monkeypatch.setattr(lm_score, "WINDOWS_PER_LEARNER", 500)
+    some = df.filter("doc_id is null or doc_id < 12 or doc_id >= 260 and doc_id <> 266")
+    got = Counter((r["doc_id"], round(r["score"], 1)) for r in lm_score.score_texts(some).collect())
+    reader = of.reader(kept["slots"])
+    want = Counter()
+    for r in some.select("doc_id", "text").collect():
+        slots = [int(s) for x in reader.of((r["text"] or "").encode().lower().split()) for s in np.frombuffer(x, "<u2")]
+        want[r["doc_id"], round(naive_log10(kept["w"], [*slots, attention.END]), 1)] += 1
+    off = lambda a, b: min(abs(a[1] - c[1]) for c in b if c[0] == a[0])
+    assert sum(got.values()) == sum(want.values()) and all(off(g, want) <= 0.11 + 1e-5 * abs(g[1]) for g in got)
+
+
+def test_lm_score_beats_word_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = lm_score.score_texts(docs).filter("held_out").selectExpr("sum(score)", "sum(base_score)").first()
+    assert r[0] > r[1]
+
+
 @pytest.mark.parametrize("frequent", [0, 3, 100_000])
 def test_lm_score(corpus, empty, frequent, monkeypatch):
     rows, df = corpus
