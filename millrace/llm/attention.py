@@ -15,7 +15,7 @@ import numpy as np
 
 SLOTS, CLASS_SIZE = 1024, 32
 CLASSES = SLOTS // CLASS_SIZE
-WIDTH, HIDDEN = 16, 32
+WIDTH, HIDDEN = 16, 16
 LENGTH, STRIDE = 32, 24
 #: The slot that ends a text, and stands before it.
 END = 0

@@ -46,7 +46,8 @@ WINDOWS_PER_LEARNER, HELD, BATCH = 65_536, 32_768, 192
 MOST_PASSES = 8
 #: The learning rate of each round.
 RATES = (0.016, 0.012, 0.008, 0.005, 0.002)
-SCORE_BATCH = 512
+SCORE_BATCH = 256
+#: Distinct words that a counting task holds, and bytes of runs that a scoring task windows, at a time.
 FLUSH = 400_000
 
 
@@ -195,31 +196,55 @@ def subword_counts(counts: DataFrame, path: str) -> dict[int, int]:
     return {r["id"]: r["c"] for r in found.groupBy("id").agg(F.sum("c").alias("c")).collect()}
 
 
-def training_windows(rows: DataFrame, slots: Slots) -> DataFrame:
-    """(slots, part, turn): all slots of every training text and its end, in runs of WINDOWS_PER_RUN windows at most.
+def slot_runs(rows: DataFrame, slots: Slots, known: dict[bytes, int], n: int, v: int, n_ends: int) -> DataFrame:
+    """All slots of every text and its end, in runs of WINDOWS_PER_RUN windows at most: rid, train, slots, part and turn.
 
-    A run of part 0 begins its text. One of part 1 goes on in it, and repeats the slots of the window before as context.
-    turn is the round in which the run is learnt.
+    A run of part 0 begins its text, and carries what is known of the text as a whole:
+    doc_id, n_tokens, the base score and n_known as far as `known` words go, and the
+    other words with their counts. A run of part 1 goes on in the text, and repeats the
+    slots of the window before as context. turn is the round in which a run is learnt.
     """
     window = 2 * net.STRIDE  # bytes
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast((known, slots))
+    end_log = log10_share(n_ends, n, v)
 
     def scan(batches):
+        known, slots = shared.value
         reader = slots.reader()
         end = np.array([net.END], dtype="<u2").tobytes()
         made = 0
-        for _, texts in blocks(batches):
-            runs, part = [], []
-            for t in texts:
-                whole = b"".join(reader.of(t.lower().split())) + end
+        for batch, texts in blocks(batches):
+            ids: dict[bytes, int] = {}
+            give = ids.setdefault
+            codes = [[give(x, len(ids)) for x in t.lower().split()] for t in texts]
+            words = list(ids)
+            spelled = reader.of(words)
+            c = np.array([known.get(x, -1) for x in words], dtype=np.int64)
+            log = np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.1) / (n + 0.1 * (v + 1))), 0.0)
+            out: dict[str, list] = {name: [] for name in ("row", "slots", "part", "n_tokens", "n_known", "base", "rare", "times")}
+            for row, cs in enumerate(codes):
+                a = np.array(cs, dtype=np.int64)
+                u, m = np.unique(a[c[a] < 0], return_counts=True)
+                whole = b"".join([spelled[i] for i in cs]) + end
                 for i in range(0, len(whole), WINDOWS_PER_RUN * window):
-                    runs.append(whole[max(0, i - window) : i + WINDOWS_PER_RUN * window])
-                    part.append(int(i > 0))
-            turn = (made + np.arange(len(runs))) % len(RATES)
-            made += len(runs)
-            arrays = [pa.array(runs, pa.binary()), pa.array(part, pa.int32()), pa.array(turn, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["slots", "part", "turn"])
-
-    return rows.filter("train").select("text").mapInArrow(scan, "slots binary, part int, turn int")
+                    out["row"].append(row)
+                    out["slots"].append(whole[max(0, i - window) : i + WINDOWS_PER_RUN * window])
+                    out["part"].append(int(i > 0))
+                    out["n_tokens"].append(len(cs) + 1 if i == 0 else None)
+                    out["n_known"].append(int((c[a] > 0).sum()) + int(n_ends > 0) if i == 0 else None)
+                    out["base"].append(float(log[a].sum()) + end_log if i == 0 else None)
+                    out["rare"].append([words[k] for k in u] if i == 0 else None)
+                    out["times"].append(m.tolist() if i == 0 else None)
+            turn = (made + np.arange(len(out["row"]))) % len(RATES)
+            made += len(turn)
+            types = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
+            arrays = {"slots": pa.array(out["slots"], pa.binary()), "part": pa.array(out["part"], pa.int32()), "turn": pa.array(turn, pa.int32())}
+            arrays |= {name: pa.array(out[name], t) for name, t in types.items()}
+            yield with_columns(batch.take(pa.array(out["row"], pa.int64())), ["doc_id", "rid", "train"], arrays)
+
+    schema = f"doc_id {kind}, rid long, train boolean, slots binary, part int, turn int, n_tokens long, n_known long, base double, rare array<binary>, times array<long>"
+    return rows.mapInArrow(scan, schema)
 
 
 def pair_counts(runs: DataFrame) -> np.ndarray:
@@ -244,14 +269,19 @@ def pair_counts(runs: DataFrame) -> np.ndarray:
 
 
 def window_rows(runs: list[bytes], part: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All windows of the runs, as scoring cuts them; the first of a run of part 1 is another run's."""
+    """All windows of the runs: inputs, hidden inputs, targets and their run (-1: none). The first of a run of part 1 is another run's."""
     lengths = np.array([len(r) // 2 for r in runs], dtype=np.int64)
     bounds = np.concatenate(([0], np.cumsum(lengths)))
-    inputs, hidden, targets, doc = net.windows(np.frombuffer(b"".join(runs), "<u2").astype(np.int64), bounds)
+    inputs, hidden, targets, run = net.windows(np.frombuffer(b"".join(runs), "<u2").astype(np.int64), bounds)
     per = -(-lengths // net.STRIDE)
     own = np.ones(len(inputs), dtype=bool)
     own[(np.cumsum(per) - per)[np.asarray(part) == 1]] = False
-    return inputs[own], hidden[own], targets[own], doc[own] >= 0
+    return inputs[own], hidden[own], targets[own], run[own]
+
+
+def _learnt(runs: list[bytes], part: list[int]) -> tuple[np.ndarray, ...]:
+    inputs, hidden, targets, run = window_rows(runs, np.array(part))
+    return inputs.astype(np.int16), hidden, targets.astype(np.int16), run >= 0
 
 
 def window_chunks(batches, most: int):
@@ -263,22 +293,27 @@ def window_chunks(batches, most: int):
             part.append(p)
             size += -(-len(r) // (2 * net.STRIDE)) - p
             if size >= most:
-                yield window_rows(runs, np.array(part))
+                yield _learnt(runs, part)
                 runs, part, size = [], [], 0
     if runs:
-        yield window_rows(runs, np.array(part))
-
-
-def train(rows: DataFrame, slots: Slots, n_ends: int) -> dict[str, np.ndarray]:
-    """The model after all rounds. A learner takes one partition; averages are weighted by windows seen."""
-    spark = rows.sparkSession
-    if not n_ends:
-        return net.initial() | net.pair_tables(np.zeros((net.SLOTS, net.SLOTS)))
-    # Every window is short of STRIDE slots at most once a text.
-    n = -(-(slots.n_slots + n_ends) // net.STRIDE)
-    learners = -(-n // WINDOWS_PER_LEARNER)
-    dealt = stored(training_windows(rows, slots).repartition(learners))  # in turn, so that copies of a text do not gather in one learner
-    tables = net.pair_tables(pair_counts(dealt))
+        yield _learnt(runs, part)
+
+
+def windows_in(slots: Slots, n_texts: int) -> int:
+    """About how many windows the training texts make."""
+    return -(-(slots.n_slots + n_texts) // net.STRIDE)
+
+
+def train(runs: DataFrame, n: int) -> dict[str, np.ndarray]:
+    """The model after all rounds over the training runs, which hold about n windows.
+
+    A learner takes one partition of runs; averages are weighted by windows seen.
+    """
+    spark = runs.sparkSession
+    runs = runs.filter("train")
+    tables = net.pair_tables(pair_counts(runs))
+    if not n:
+        return net.initial() | tables
     passes = max(1, min(MOST_PASSES, 2 * WINDOWS_PER_LEARNER // n))  # a small table is gone over again
     weights = net.flat(net.initial())
     for turn, rate in enumerate(RATES):
@@ -295,13 +330,14 @@ def train(rows: DataFrame, slots: Slots, n_ends: int) -> dict[str, np.ndarray]:
                     for _ in range(passes):
                         order = rng.permutation(size)
                         for i in range(0, size, BATCH):
-                            yield [x[order[i : i + BATCH]] for x in whole]
+                            inputs, hidden, targets, real = (x[order[i : i + BATCH]] for x in whole)
+                            yield inputs.astype(np.int64), hidden, targets.astype(np.int64), real
 
             learnt, seen = net.learn(net.unflat(weights) | tables, steps(), rate)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([net.flat(learnt)], pa.list_(pa.float32())), pa.array([seen], pa.int64())], names=["w", "seen"])
 
-        mine = dealt.filter(F.col("turn") == turn).select("slots", "part")
+        mine = runs.filter(F.col("turn") == turn).select("slots", "part")
         found = mine.mapInArrow(scan, "w array<float>, seen long").select("seen", F.posexplode("w").alias("i", "w"))
         mean = found.groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w")).toArrow()
         if mean.num_rows:
@@ -317,16 +353,29 @@ def log10_share(c: Column | int, n: int, v: int):
     return math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
 
 
-def model_scores(w: dict[str, np.ndarray], slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """log10 probability of each text, given its slots with END last."""
-    inputs, hidden, targets, doc = net.windows(slots, bounds)
-    out = np.zeros(len(bounds) - 1)
-    for i in range(0, len(inputs), SCORE_BATCH):
-        j = i + SCORE_BATCH
-        lp, d = net.log_probabilities(w, inputs[i:j], hidden[i:j], targets[i:j]).ravel(), doc[i:j].ravel()
-        real = d >= 0
-        out += np.bincount(d[real], weights=lp[real], minlength=len(out))
-    return out / math.log(10)
+def run_scores(runs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """(rid, score): the log10 probability of each text under the model, summed over its runs."""
+    shared = runs.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches):
+        net.keep_memory()
+        w = shared.value
+        for batch in batches:
+            rid, raw, part = (_column(batch, c) for c in ("rid", "slots", "part"))
+            own, part = raw.to_pylist(), part.to_numpy()
+            out = np.zeros(len(own))
+            # Runs are windowed a bounded number at a time.
+            cut = np.searchsorted(np.cumsum([len(r) for r in own]), np.arange(0, sum(map(len, own)), FLUSH) + FLUSH)
+            for i, j in zip([0, *cut], [*cut, len(own)]):
+                inputs, hidden, targets, run = window_rows(own[i:j], part[i:j])
+                for k in range(0, len(inputs), SCORE_BATCH):
+                    lp = net.log_probabilities(w, inputs[k : k + SCORE_BATCH], hidden[k : k + SCORE_BATCH], targets[k : k + SCORE_BATCH]).ravel()
+                    at = run[k : k + SCORE_BATCH].ravel()
+                    out[i:j] += np.bincount(at[at >= 0], weights=lp[at >= 0], minlength=j - i)
+            yield pa.RecordBatch.from_arrays([rid, pa.array(out / math.log(10))], names=["rid", "score"])
+
+    scored = runs.select("rid", "slots", "part").mapInArrow(scan, "rid long, score double")
+    return scored.groupBy("rid").agg(F.sum("score").alias("score"))
 
 
 def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQUENT) -> DataFrame:
@@ -347,53 +396,17 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int =
     n, v = sums[0] + n_ends, sums[1] + int(n_ends > 0)
     known = {bytes(r["word"]): r["c"] for r in frequent_words(counts, frequent).collect()}
     slots = Slots(path, subword_counts(counts, path))
-    shared = spark.sparkContext.broadcast((known, slots, train(rows, slots, n_ends)))
-    end_log = log10_share(n_ends, n, v)
-
-    def scan(batches):
-        net.keep_memory()
-        known, slots, w = shared.value
-        reader = slots.reader()
-        end = np.array([net.END], dtype="<u2").tobytes()
-        for batch, texts in blocks(batches):
-            ids: dict[bytes, int] = {}
-            give = ids.setdefault
-            codes = []
-            for t in texts:
-                codes.append([give(x, len(ids)) for x in t.lower().split()])
-            words = list(ids)
-            spelled = reader.of(words)
-            c = np.array([known.get(x, -1) for x in words], dtype=np.int64)
-            log = np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.1) / (n + 0.1 * (v + 1))), 0.0)
-            joined = [b"".join([spelled[i] for i in cs]) + end for cs in codes]
-            bounds = np.concatenate(([0], np.cumsum([len(x) // 2 for x in joined])))
-            score = model_scores(w, np.frombuffer(b"".join(joined), "<u2").astype(np.int64), bounds)
-            base, found, rare, times = [], [], [], []
-            for cs in codes:
-                a = np.array(cs, dtype=np.int64)
-                base.append(float(log[a].sum()) + end_log)
-                found.append(int((c[a] > 0).sum()) + int(n_ends > 0))
-                u, m = np.unique(a[c[a] < 0], return_counts=True)
-                rare.append([words[i] for i in u])
-                times.append(m.tolist())
-            made = {
-                "n_tokens": pa.array([len(cs) + 1 for cs in codes], pa.int64()),
-                "n_known": pa.array(found, pa.int64()),
-                "base": pa.array(base, pa.float64()),
-                "score": pa.array(score),
-                "rare": pa.array(rare, pa.list_(pa.binary())),
-                "times": pa.array(times, pa.list_(pa.int64())),
-            }
-            yield with_columns(batch, ["doc_id", "rid", "train"], made)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, rid long, train boolean, n_tokens long, n_known long, base double, score double, rare array<binary>, times array<long>"
-    scored = stored(rows.mapInArrow(scan, schema))
-    each = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("m"))
+    n_windows = windows_in(slots, n_ends)
+    runs = slot_runs(rows, slots, known, n, v, n_ends)
+    # Dealt in turn, so that copies of a text do not gather in one learner and a long text is no single task.
+    runs = stored(runs.repartition(max(1, -(-n_windows // WINDOWS_PER_LEARNER))))
+    scored = run_scores(runs, train(runs, n_windows if n_ends else 0))
+    texts = runs.filter("part = 0")
+    each = texts.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("m"))
     others = each.join(counts.select("word", "c"), "word").groupBy("rid").agg(
         F.sum(F.col("m") * log10_share(F.col("c"), n, v)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more_known")
     )
-    whole = scored.drop("rare", "times").join(others, "rid", "left")
+    whole = texts.drop("slots", "rare", "times").join(scored, "rid").join(others, "rid", "left")
     return whole.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),

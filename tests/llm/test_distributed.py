@@ -291,9 +291,12 @@ def test_lm_training_takes_every_slot(corpus, monkeypatch):
     path = public_tokenizers.path(lm_score.VOCABULARY)
     rows = lm_score.prepared(df)
     slots = lm_score.Slots(path, lm_score.subword_counts(lm_score.word_counts(rows), path))
-    runs = lm_score.training_windows(rows, slots).collect()
+    every = lm_score.slot_runs(rows, slots, {}, 1, 1, 1)
+    assert every.filter("part = 0").count() == df.count()
+    every = every.filter("train")
+    runs = every.collect()
     assert {r["turn"] for r in runs} == set(range(len(lm_score.RATES)))
-    got = lm_score.window_rows([bytes(r["slots"]) for r in runs], np.array([r["part"] for r in runs]))
+    got = lm_score._learnt([bytes(r["slots"]) for r in runs], [r["part"] for r in runs])
     reader = slots.reader()
     texts = [(r["text"] or "").encode().lower().split() for r in rows.filter("train").select("text").collect()]
     whole = [[s for x in reader.of(ws) for s in np.frombuffer(x, "<u2").tolist()] + [attention.END] for ws in texts]
@@ -302,7 +305,7 @@ def test_lm_training_takes_every_slot(corpus, monkeypatch):
     before = np.concatenate([[attention.END, *w[:-1]] for w in whole])
     pairs = np.zeros((attention.SLOTS, attention.SLOTS))
     np.add.at(pairs, (before, [s for w in whole for s in w]), 1)
-    assert (lm_score.pair_counts(lm_score.training_windows(rows, slots)) == pairs).all() and pairs.sum() == slots.n_slots + len(whole)
+    assert (lm_score.pair_counts(every) == pairs).all() and pairs.sum() == slots.n_slots + len(whole)
     key = lambda i, h, t, r: Counter(map(repr, zip(i.tolist(), h.tolist(), t.tolist(), r.tolist(), strict=True)))
     assert key(*got) == key(inputs, hidden, targets, doc >= 0)
     batch = lm_score.pa.RecordBatch.from_arrays([lm_score.pa.array([bytes(r["slots"]) for r in runs]), lm_score.pa.array([r["part"] for r in runs])], names=["slots", "part"])
@@ -345,13 +348,19 @@ def test_lm_score_against_plain_loops(corpus, monkeypatch):
     """score is the trained model's log10 probability of the whole text, window by window."""
     _, df = corpus
     kept = {}
-    train, of = lm_score.train, lm_score.Slots
+    train, of, slot_runs = lm_score.train, lm_score.Slots, lm_score.slot_runs
 
-    def caught(rows, slots, n_ends):
-        kept["w"], kept["slots"] = train(rows, slots, n_ends), slots
+    def caught(runs, n):
+        kept["w"] = train(runs, n)
         return kept["w"]
 
+    def read(rows, slots, *others):
+        kept["slots"] = slots
+        return slot_runs(rows, slots, *others)
+
     monkeypatch.setattr(lm_score, "train", caught)
+    monkeypatch.setattr(lm_score, "slot_runs", read)
+    monkeypatch.setattr(lm_score, "WINDOWS_PER_RUN", 20)
     monkeypatch.setattr(lm_score, "WINDOWS_PER_LEARNER", 500)
     some = df.filter("doc_id is null or doc_id < 12 or doc_id >= 260 and doc_id <> 266")
     got = Counter((r["doc_id"], round(r["score"], 1)) for r in lm_score.score_texts(some).collect())
