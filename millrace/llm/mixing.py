@@ -1,75 +1,72 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every source is cut into blocks by the leading digits of a salted digest of doc_id;
-digest order is a fixed random permutation of blocks and of the documents in them.
-A source's target fixes how many of its permuted blocks are drawn (whole passes, a
-prefix of one more pass, and single documents of the block in which the target
-falls; large documents first, so that small ones can fill up the rest). The exact block quotas of all sources are split over the output shards by a
-binary tree whose every node draws from the multivariate hypergeometric law; each
-shard then takes disjoint consecutive draws of the permuted blocks and orders its
-rows by another digest.
+Every source is cut into blocks along a fixed random permutation of its documents
+(the order of a salted digest of doc_id): a block is an interval of that line, and a
+document so large that it would unbalance the source is a block of its own. A
+source's target fixes its exact quota of block draws. The quotas are split over the
+output shards by a binary tree whose every node draws from the multivariate
+hypergeometric law; each shard then takes disjoint consecutive draws from the
+permuted draws of every source and orders its rows by another digest. A document is
+taken as often as shards draw its block, so all that is taken has gone through the tree.
+
+Sources stay in tables. The tree on the driver has GROUPS columns at most: sources
+beyond that share a column, and the permutation of their common draws splits a
+shard's quota among them by the same law.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex_digits, id_hash, running, same, small, stored, text_or_empty, word_count
+from .common import RID, hex_digits, id_hash, identified, numbered, running, same, split_join, stored, text_or_empty, with_rid, word_count
 
 WEIGHTS = (3, 1, 2)
 #: The mix takes SHARE[0]/SHARE[1] of all words; no source gives more than CAP times its own.
 SHARE = (3, 2)
 CAP = 2
+#: Shards hold about so many words, until there are MOST_SHARDS of them; beyond, shards grow.
 WORDS_PER_SHARD = 2_000_000
 MOST_SHARDS = 4096
-SALT = "mix-"
-#: A document with more than 1/LARGE of its source's words is large.
+#: Columns of the splitting tree at most.
+GROUPS = 64
+#: A source is cut into at least BLOCKS blocks; a block has LONGEST words and documents at most, but for its last document.
+BLOCKS, LONGEST = 256, 20_000
+#: A document with more than 1/LARGE of its source is a block of its own.
 LARGE = 64
+SALT = "mix-"
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> DataFrame:
-    """sizes(source, source_size) with weight and target: shares by weight, held at the cap.
+    """sizes(source, source_size, ...) with rank (by code point, null last), weight and target, stored.
 
-    Sources are taken from the smallest size for its weight upwards; one is held at
-    the cap if its share of what the ones before left exceeds the cap. That is where
-    repeated resharing of the excess ends. Integers until the one final division.
+    Every source gets its weight's share of all words. While any source's share is
+    above the cap, those above are held there and the rest is shared anew among the
+    others; the shares only grow, so no source is freed again. Integers until the one
+    final division.
     """
-    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
-    ranked = ranked.withColumn("weight", w.cast("long"))
-    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    order = W.orderBy(F.col("source_size") / F.col("weight"), "rank")
-    earlier = order.rowsBetween(W.unboundedPreceding, -1)
     num, den = share
-    ranked = ranked.withColumns(
-        {
-            "total": F.sum("source_size").over(every),
-            "all_weight": F.sum("weight").over(every),
-            "size_before": F.coalesce(F.sum("source_size").over(earlier), F.lit(0)),
-            "weight_before": F.coalesce(F.sum("weight").over(earlier), F.lit(0)),
-        }
-    )
-    left = F.lit(num) * F.col("total") - F.lit(den * cap) * F.col("size_before")
-    rest = F.col("all_weight") - F.col("weight_before")
-    ranked = ranked.withColumn("full", left * F.col("weight") > F.lit(den * cap) * F.col("source_size") * rest)
-    ranked = ranked.withColumns(
-        {
-            "held": F.coalesce(F.sum(F.when(F.col("full"), F.col("source_size"))).over(every), F.lit(0)),
-            "free": F.sum(F.when(~F.col("full"), F.col("weight"))).over(every),
-        }
-    )
-    free_target = (F.col("weight") * (F.lit(num) * F.col("total") - F.lit(den * cap) * F.col("held"))).cast("double") / (
-        F.lit(den) * F.col("free")
-    ).cast("double")
-    target = F.when(F.col("full"), (F.lit(cap) * F.col("source_size")).cast("double")).otherwise(free_target)
-    return ranked.select("source", "source_size", "weight", target.alias("target"))
+    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    ranked = numbered(sizes, F.col("source").asc_nulls_last()).withColumn("weight", w.cast("long"))
+    total, all_weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    rest, free = num * total, all_weight  # rest/den words are shared among sources of weight `free` together
+    while True:
+        # share above cap: rest/den * weight/free > cap * source_size
+        full = F.lit(rest).cast("decimal(38,0)") * F.col("weight") > F.lit(den * cap * free).cast("decimal(38,0)") * F.col("source_size") if free else F.lit(True)
+        held, held_weight = ranked.agg(F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(full, F.col("weight"))), F.lit(0))).first()
+        now = num * total - den * cap * held, all_weight - held_weight
+        if now == (rest, free):
+            break
+        rest, free = now
+    shared = (F.col("weight") * F.lit(rest)).cast("double") / F.lit(max(1, den * free)).cast("double")
+    return ranked.withColumn("target", F.when(full, (F.lit(cap) * F.col("source_size")).cast("double")).otherwise(shared))
 
 
 def splitting_tree(quotas: list[int], shards: int, seed: int = 17) -> np.ndarray:
-    """Block quotas by (shard, source): rows sum to near-equal sizes, columns to the quotas exactly.
+    """Block quotas by (shard, column): rows sum to near-equal sizes, columns to the quotas exactly.
 
     A node with n draws for k shards sends n*(k//2)//k of them to its left half; which
     sources they come from follows the multivariate hypergeometric law.
@@ -89,136 +86,129 @@ def splitting_tree(quotas: list[int], shards: int, seed: int = 17) -> np.ndarray
     return out
 
 
-def _table(spark, rows: list[str], schema: str) -> DataFrame:
-    """A few values as a literal table (JSON text), read by SQL functions."""
-    if not rows:
-        return spark.createDataFrame([], schema)
-    return spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in rows])).alias("j")).select(F.from_json("j", schema).alias("r")).select("r.*")
+def sized_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, digest h and the row id rid, stored once: the texts are read no more."""
+    return stored(docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), id_hash(F.col("doc_id"), SALT).alias("h"), with_rid(docs)))
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, digest h and a row number rid, stored once: the texts are read no more."""
-    return stored(
-        docs.select(
-            "doc_id",
-            "source",
-            word_count(text_or_empty()).alias("size"),
-            id_hash(F.col("doc_id"), SALT).alias("h"),
-            F.xxhash64(text_or_empty()).alias("text_hash"),
-            F.monotonically_increasing_id().alias("rid"),
-        )
+def _in_blocks(rows: DataFrame, n_rows: int, weights, share, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their block: large, block; targets of the sources with passes and rest)."""
+    sizes = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
+    passes = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size")))
+    targets = source_targets(sizes, weights, share, cap).withColumn("passes", passes.cast("long"))
+    targets = stored(targets.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("line", F.col("source_size") + F.col("n")))
+    # A document takes one place more than it has words, so that empty ones are dealt over blocks too.
+    place = F.col("size") + 1
+    sided = split_join(rows, targets.select("source", "source_size", "line"), ["source"], n_rows, sizes)
+    sided = sided.withColumns({"place": place, "one": F.lit(1).cast("long"), "large": place * LARGE > F.col("line")})
+    sided = sided.withColumn("side", F.struct("source", "large"))
+    most = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    summed = running(sided, "side", "h", ["size", "rid"], {"before": "place", "number": "one"}, hex_digits(most))
+    length = F.least(F.lit(LONGEST), F.greatest(F.lit(1), F.floor(F.col("line") / BLOCKS)))
+    block = F.when(F.col("large"), F.col("number")).otherwise(F.floor(F.col("before") / length)).cast("long")
+    return stored(summed.withColumn("block", block).drop("place", "one", "side", "before", "number", "line")), targets
+
+
+def _block_draws(rows: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
+    """(source, rank, large, block, draws): how often each block is drawn, so that its source comes near its target.
+
+    Whole passes over the source, then a prefix of one more: large blocks up to their
+    part of what is missing, then the others. At last the one block whose size is
+    nearest to what is missing (or too much) is added (or dropped), if that helps.
+    """
+    blocks = stored(rows.groupBy("source", "large", "block").agg(F.sum("size").alias("words")))
+    counts = stored(blocks.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    n_blocks = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def per_source(table: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+        return split_join(table, facts, ["source"], n_blocks, counts, how)
+
+    order = F.lpad(F.hex("block"), 16, "0")
+    sided = per_source(blocks, targets.select("source", "rank", "source_size", "target", "passes", "rest"))
+    sided = sided.withColumns({"side": F.struct("source", "large"), "at": order})
+    inner = running(sided, "side", "at", ["words"], {"before": "words"}, 14)
+    big = blocks.groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("large"), F.col("words"))), F.lit(0)).alias("large_size"))
+    more = F.col("passes") < cap
+    in_large = more & F.col("large") & ((2 * F.col("before") + F.col("words")) * F.col("source_size") <= 2 * F.col("rest") * F.col("large_size"))
+    first = stored(per_source(inner, big).withColumn("extra", F.when(in_large, 1).otherwise(0).cast("long")))
+    spent = first.groupBy("source").agg(F.sum(F.col("extra") * F.col("words")).alias("spent"))
+    fits = more & ~F.col("large") & (2 * F.col("before") + F.col("words") <= 2 * (F.col("rest") - F.col("spent")))
+    drawn = per_source(first, spent).withColumn("draws", F.col("passes") + F.when(fits, 1).otherwise(F.col("extra")))
+    drawn = stored(drawn.select("source", "rank", "large", "block", "words", "target", "draws"))
+    gap = drawn.groupBy("source").agg((F.first("target") - F.sum(F.col("draws") * F.col("words"))).alias("gap"))
+    off = F.abs(F.abs(F.col("gap")) - F.col("words"))
+    can = F.when(F.col("gap") > 0, F.col("draws") < cap).otherwise(F.col("draws") > 0)
+    mend = (
+        per_source(drawn, gap)
+        .filter(can & (off < F.abs(F.col("gap"))))
+        .groupBy("source")
+        .agg(F.min(F.struct(off.alias("off"), "large", "block")).alias("best"), F.first("gap").alias("gap"))
+        .select("source", F.col("best.large").alias("mend_large"), F.col("best.block").alias("mend_block"), F.signum("gap").cast("long").alias("mend"))
     )
+    mended = (F.col("large") == F.col("mend_large")) & (F.col("block") == F.col("mend_block"))
+    draws = F.col("draws") + F.when(mended, F.col("mend")).otherwise(0)
+    return stored(per_source(drawn, mend, "left").select("source", "rank", "large", "block", "words", draws.alias("draws")))
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> DataFrame:
-    """How often the mix takes each document: one row per row of docs.
+def _shards_of_draws(blocks: DataFrame) -> DataFrame:
+    """(source, large, block, shards): the shard of every draw of each block, by the splitting tree.
 
-    doc_id, source, size (words; null text: 0), source_size, target, times, taken,
-    text_hash, and `shards`, the output shard of each copy. A document is taken
-    whole or not at all, `cap` times at most. After the permuted prefix, the one
-    document whose size is nearest to what is missing (or too much) is added (or
-    dropped) where that brings the source nearer to its target. Rows with one doc_id
-    count as separate documents; empty texts have size 0. An empty table gives no
-    rows. Other columns are not read.
+    The draws of a group of sources stand in permuted order; each shard takes as many
+    consecutive ones as the tree gives it. Draws that no shard takes are not made.
     """
-    spark = docs.sparkSession
-    rows = sized_documents(docs)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    sizes = stored(sizes)
-    n_sources, per_source = sizes.agg(F.count(F.lit(1)), F.coalesce(F.max("n_docs"), F.lit(0))).first()
-    passes = F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size")))
-    targets = stored(
-        source_targets(sizes.drop("n_docs"), weights, share, cap)
-        .withColumn("passes", passes.cast("long"))
-        .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-        .withColumnRenamed("source", "_source")
-    )
-    digits = hex_digits(per_source)
-    on_source = same([F.col("source")], [F.col("_source")])
-    sided = rows.join(small(targets, n_sources), on_source).withColumn("side", F.struct("source", (F.col("size") * LARGE > F.col("source_size")).alias("large")))
-    summed = running(sided, "side", "h", ["size", "rid"], {"before": "size"}, digits)
-    # Large documents get their share of the rest first; the many others fill up what is left of it.
-    wide = F.col("side.large") & (F.col("passes") < cap)
-    n_large = (2 * F.col("before") + F.col("size")) * F.col("source_size") <= 2 * F.col("rest") * F.col("large_size")
-    large = sided.filter("side.large").groupBy(F.col("source").alias("_ls")).agg(F.sum("size").alias("large_size"))
-    summed = summed.join(small(large, n_sources), same([F.col("source")], [F.col("_ls")]), "left")
-    summed = stored(summed.withColumn("extra", F.when(wide & n_large, 1).otherwise(0)).drop("_ls", "large_size", "_source", "weight"))
-    spent = summed.groupBy(F.col("source").alias("_source")).agg(F.sum(F.col("extra") * F.col("size")).alias("spent"))
-    fits = ~F.col("side.large") & (F.col("passes") < cap) & (2 * F.col("before") + F.col("size") <= 2 * (F.col("rest") - F.col("spent")))
-    drawn = summed.join(small(spent, n_sources), on_source).withColumn("first_times", F.col("passes") + F.when(fits, 1).otherwise(F.col("extra")))
-    drawn = stored(drawn.drop("_source", "before", "spent", "extra", "side"))
-    # One document for each source is added or dropped, if that helps.
-    gap = drawn.groupBy("source").agg((F.first("target") - F.sum(F.col("first_times") * F.col("size"))).alias("gap"))
-    gap = gap.select(F.col("source").alias("_source"), "gap")
-    off = F.abs(F.abs(F.col("gap")) - F.col("size"))
-    can = F.when(F.col("gap") > 0, F.col("first_times") < cap).otherwise(F.col("first_times") > 0)
-    helps = can & (off < F.abs(F.col("gap")))
-    mend = (
-        drawn.join(small(gap, n_sources), on_source)
-        .filter(helps)
-        .groupBy("_source")
-        .agg(F.min(F.struct(off.alias("off"), "h", "size", "rid")).alias("best"), F.first("gap").alias("gap"))
-        .select("_source", F.col("best.rid").alias("mend_rid"), F.signum("gap").cast("long").alias("mend"))
-    )
-    times = F.col("first_times") + F.when(F.col("rid") == F.col("mend_rid"), F.col("mend")).otherwise(0)
-    timed = drawn.join(small(mend, n_sources), on_source, "left").withColumn("times", times)
-    timed = stored(timed.drop("_source", "mend_rid", "mend", "first_times"))
-    # Exact block quotas: a block counts once for each pass in which any of its documents is drawn.
-    blocks = timed.groupBy("source", "_bucket").agg(F.max("times").alias("draws"))
-    upto = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    blocks = stored(blocks.withColumn("first_draw", F.coalesce(F.sum("draws").over(upto), F.lit(0))))
-    quotas = blocks.groupBy("source").agg(F.sum("draws").alias("quota")).orderBy(F.col("source").asc_nulls_last()).collect()
-    words = timed.agg(F.sum(F.col("times") * F.col("size"))).first()[0] or 0
+    spark = blocks.sparkSession
+    group = ((F.col("rank") - 1) % GROUPS).cast("int")
+    quotas = {r["g"]: r["q"] for r in blocks.groupBy(group.alias("g")).agg(F.sum("draws").alias("q")).collect()}
+    words = blocks.agg(F.coalesce(F.sum(F.col("draws") * F.col("words")), F.lit(0))).first()[0]
     shards = max(1, min(MOST_SHARDS, -(-words // WORDS_PER_SHARD)))
-    ends = np.cumsum(splitting_tree([r["quota"] for r in quotas], shards), axis=0)
-    bounds = _quota_table(spark, [r["source"] for r in quotas], ends)
-    # The block table grows with the input: it meets its rows by a shuffle, whatever its files' size suggests.
-    timed = timed.join(
-        blocks.select(F.col("source").alias("_bs"), F.col("_bucket").alias("_bb"), "first_draw").hint("merge"),
-        same([F.col("source"), F.col("_bucket")], [F.col("_bs"), F.col("_bb")]),
-    ).drop("_bs", "_bb")
-    timed = timed.join(small(bounds, n_sources), on_source, "left")
-
-    def shard_of(draw: Column) -> Column:
-        return F.size(F.filter("ends", lambda e: e <= F.col("first_draw") + draw)).cast("int")
-
-    return timed.select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        "times",
-        (F.col("times") * F.col("size")).alias("taken"),
-        "text_hash",
-        F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("times") - 1), shard_of))
-        .otherwise(F.array().cast("array<int>"))
-        .alias("shards"),
-        "h",
-    )
+    ends = np.cumsum(splitting_tree([quotas.get(g, 0) for g in range(GROUPS)], shards), axis=0)
+    bounds = [F.from_json(F.lit(json.dumps(ends[:, g].tolist())), "array<bigint>") for g in range(GROUPS)]
+    bounds = spark.range(1).select(F.posexplode(F.array(*bounds)).alias("_g", "ends"))
+    each = blocks.filter("draws > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws"))))
+    mixed = F.md5(F.concat_ws(":", F.lit("draw"), "rank", F.col("large").cast("string"), "block", "copy"))
+    each = stored(each.select("source", "large", "block", group.alias("g"), mixed.alias("h"), F.lit(1).cast("long").alias("one")))
+    place = running(each, "g", "h", ["block"], {"place": "one"}, hex_digits(max([0, *quotas.values()])))
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("place"))).cast("int")
+    dealt = place.join(F.broadcast(bounds), F.col("g") == F.col("_g")).withColumn("shard", shard).filter(F.col("shard") < shards)
+    return dealt.groupBy("source", "large", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
 
 
-def _quota_table(spark, sources: list[str | None], ends: np.ndarray) -> DataFrame:
-    """(_source, ends): for each source the draw number at which each shard's share ends."""
-    import json
+def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> DataFrame:
+    """How often the mix takes each document: one row per row of docs.
 
-    rows = [json.dumps({"_source": s, "ends": ends[:, i].tolist()}) for i, s in enumerate(sources)]
-    return _table(spark, rows, "_source string, ends array<bigint>")
+    doc_id, source, size (words; null text: 0), source_size, target, times, taken, the
+    row id rid, and `shards`, the output shard of each copy. A document is taken whole
+    or not at all, `cap` times at most: once for every draw of its block. Rows with one
+    doc_id count as separate documents, and stand in the permutation by size, then row;
+    empty texts have size 0 and are dealt like others. A null source is a source, the
+    last. An empty table gives no rows. Other columns are not read.
+    """
+    rows = sized_documents(docs)
+    n_rows = rows.count()
+    placed, targets = _in_blocks(rows, n_rows, weights, share, cap)
+    key = ["source", "large", "block"]
+    draws = _shards_of_draws(_block_draws(placed, targets, cap))
+    # Blocks are many and small: they meet their documents by a shuffle. A block has a bounded number of documents.
+    named = draws.select(*[F.col(c).alias(f"_{c}") for c in key], "shards")
+    on = same([F.col(c) for c in key], [F.col(f"_{c}") for c in key])
+    whole = placed.join(named.hint("merge"), on, "left").drop(*[f"_{c}" for c in key])
+    whole = whole.withColumn("shards", F.coalesce("shards", F.array().cast("array<int>"))).withColumn("times", F.size("shards").cast("long"))
+    sources = stored(placed.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    whole = split_join(whole, targets.select("source", "target"), ["source"], n_rows, sources)
+    return whole.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), "shards", "rid")
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: each document as often as mix_plan takes it, dealt to its shards in permuted order."""
-    plan = mix_plan(docs).filter("times > 0")
-    copies = plan.groupBy(F.col("doc_id").alias("__mr_id"), F.col("text_hash").alias("__mr_th")).agg(
-        F.flatten(F.collect_list("shards")).alias("__mr_shards")
-    )
+    """The mix itself: each document as often as mix_plan takes it, dealt to its shards in permuted order.
+
+    Rows are known by their place in the table, so null and repeated ids stay separate
+    documents. A document whose block is not drawn is not in the mix. An empty table gives none.
+    """
     columns = docs.columns
-    hashed = docs.withColumn("__mr_hash", F.xxhash64(text_or_empty()))
-    if not docs.groupBy("doc_id", F.xxhash64(text_or_empty())).count().filter("count > 1").isEmpty():
-        hashed = hashed.dropDuplicates(["doc_id", "__mr_hash"])
-    on = same([F.col("doc_id"), F.col("__mr_hash")], [F.col("__mr_id"), F.col("__mr_th")])
-    dealt = hashed.join(copies.hint("shuffle_hash"), on).select(*columns, F.posexplode("__mr_shards").alias("__mr_copy", "__mr_shard"))
-    order = F.md5(F.concat_ws(":", F.lit("order"), F.col("doc_id").cast("string"), F.col("__mr_copy").cast("string")))
+    docs = identified(docs)
+    plan = mix_plan(docs).filter("times > 0").select(F.col("rid").alias("__mr_row"), F.col("shards").alias("__mr_shards"))
+    dealt = docs.join(plan.hint("shuffle_hash"), F.col(RID) == F.col("__mr_row")).select(*columns, RID, F.posexplode("__mr_shards").alias("__mr_copy", "__mr_shard"))
+    order = F.md5(F.concat_ws(":", F.lit("order"), F.col("doc_id").cast("string"), F.col(f"{RID}.row"), "__mr_copy"))
     # Ranges of (shard, order) keep each shard together and in order, and split what is too large for one task.
     dealt = dealt.withColumn("__mr_order", order)
     ranged = dealt.repartitionByRange("__mr_shard", "__mr_order").sortWithinPartitions("__mr_shard", "__mr_order")

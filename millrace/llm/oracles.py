@@ -33,25 +33,37 @@ with d as (
     case when full_up then (2 * source_size)::double else (w * (3 * total - 4 * held))::double / (2 * free)::double end target from k
 ), p as (
   select *, (case when source_size = 0 then 0 else floor(target / source_size) end)::bigint passes from t
+), q as (
+  select source, count(*) n from d group by source
 ), x as (
-  select d.doc_id, d.size, d.h, p.source, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size rest, d.size * 64 > p.source_size large,
-    coalesce(sum(d.size) over (partition by d.source, d.size * 64 > p.source_size order by d.h, d.size rows between unbounded preceding and 1 preceding), 0) before,
-    sum(d.size) over (partition by d.source, d.size * 64 > p.source_size) side_size
-  from d join p on d.source is not distinct from p.source
-), l as (
-  select *, case when large and passes < 2 and (2 * before + size) * source_size <= 2 * rest * side_size then 1 else 0 end extra from x
-), s2 as (
-  select *, sum(extra * size) over (partition by source) spent from l
+  select d.doc_id, d.size, d.h, p.source, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size rest,
+    (d.size + 1) * 64 > p.source_size + q.n large, least(20000, greatest(1, (p.source_size + q.n) // 256)) length
+  from d join p on d.source is not distinct from p.source join q on d.source is not distinct from q.source
 ), y as (
-  select *, passes + (case when not large and passes < 2 and 2 * before + size <= 2 * (rest - spent) then 1 else extra end) n from s2
+  select *, case when large then row_number() over w - 1
+    else coalesce(sum(size + 1) over (w rows between unbounded preceding and 1 preceding), 0)::bigint // length end block
+  from x window w as (partition by source, large order by h, size)
+), b as (
+  select source, large, block, sum(size)::bigint words, any_value(source_size) source_size, any_value(target) target, any_value(passes) passes, any_value(rest) rest
+  from y group by source, large, block
+), l as (
+  select *, coalesce(sum(words) over (partition by source, large order by block rows between unbounded preceding and 1 preceding), 0)::bigint before,
+    coalesce(sum(words) filter (large) over (partition by source), 0)::bigint large_size from b
+), e1 as (
+  select *, case when large and passes < 2 and (2 * before + words) * source_size <= 2 * rest * large_size then 1 else 0 end extra from l
+), e2 as (
+  select *, sum(extra * words) over (partition by source) spent from e1
+), e3 as (
+  select *, passes + (case when not large and passes < 2 and 2 * before + words <= 2 * (rest - spent) then 1 else extra end) n from e2
 ), z as (
-  select *, target - sum(n * size) over (partition by source) gap from y
+  select *, target - sum(n * words) over (partition by source) gap from e3
 ), m as (
-  select *, abs(abs(gap) - size) off_by, (case when gap > 0 then n < 2 else n > 0 end) and abs(abs(gap) - size) < abs(gap) helps from z
+  select *, abs(abs(gap) - words) off_by, (case when gap > 0 then n < 2 else n > 0 end) and abs(abs(gap) - words) < abs(gap) helps from z
 ), o as (
-  select *, row_number() over (partition by source, helps order by off_by, h, size) i from m
+  select *, row_number() over (partition by source, helps order by off_by, large, block) i from m
 )
-select doc_id, size, source_size, target, ((n + case when helps and i = 1 then sign(gap) else 0 end) * size)::bigint taken from o
+select y.doc_id, y.size, y.source_size, y.target, ((n + case when helps and i = 1 then sign(gap) else 0 end) * y.size)::bigint taken
+from y join o on y.source is not distinct from o.source and y.large = o.large and y.block = o.block
 """
 
 OP2 = rf"""

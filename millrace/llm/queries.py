@@ -51,7 +51,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("text_hash")
+    return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("rid")
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, with_columns
-from .common import only_kept, stored, text_or_empty
+from .common import identified, only_kept, split_join, stored, with_rid
 
 SHINGLE = 3
 RADIUS = 2
@@ -231,43 +231,46 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (signed 64 bits), component_id and text_hash for every row of docs.
+    """doc_id, fp (signed 64 bits), component_id, root and rid for every row of docs.
 
     component_id is the smallest doc_id that can be reached over links of at most
-    `radius` differing bits, itself included. Null and empty texts have fingerprint
+    `radius` differing bits, itself included; root is a fingerprint that names the
+    component whatever its ids, rid the row. Null and empty texts have fingerprint
     zero, which links like any other. Null doc_ids are passed over when the smallest
     is sought; a component of such rows only has a null id. Repeated rows get the
-    same answer. An empty table gives no rows; other columns are not read.
+    same answer. A text of any length is one fingerprint, made from all its shingles.
+    An empty table gives no rows; other columns are not read.
     """
-    return rooted_groups(docs, width, radius).drop("root")
-
-
-def rooted_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """simhash_groups with `root`, a fingerprint that names the component whatever its ids."""
 
     def scan(batches):
         for batch, texts in blocks(batches):
             fp = pa.array(fingerprints(texts, width).view(np.int64))
-            yield with_columns(batch, ["doc_id", "text_hash"], {"fp": fp})
+            yield with_columns(batch, ["doc_id", "rid"], {"fp": fp})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), "text")
-    rows = stored(rows.mapInArrow(scan, f"doc_id {kind}, text_hash long, fp long"))
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    label = components(links(nodes.select("fp"), radius), "fp", "linked")
-    linked = label.join(nodes, F.col("node") == F.col("fp"))
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = label.join(least, "root").select("node", "root", "component_id")
-    answer = nodes.join(named, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("fp_"), F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id")
-    )
+    rows = docs.select("doc_id", with_rid(docs), "text")
+    id_kind = rows.schema["rid"].dataType.simpleString()
+    rows = stored(rows.mapInArrow(scan, f"doc_id {kind}, rid {id_kind}, fp long"))
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
+    label = stored(components(links(nodes.select("fp"), radius), "fp", "linked").select(F.col("node").alias("fp"), "root"))
+    # A root may name most fingerprints, and a fingerprint most rows: both meet their one row by split joins.
+    sizes = stored(label.join(nodes, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    n_linked = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    named = split_join(label, sizes.drop("n"), ["root"], n_linked, sizes)
+    answer = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id"))
     answer = stored(answer)
-    return rows.join(answer, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id", "text_hash", "root")
+    n_rows = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return split_join(rows, answer, ["fp"], n_rows, nodes).select("doc_id", "fp", "component_id", "root", "rid")
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of docs for each component: that of its smallest doc_id; a row without id where no row has one."""
-    groups = rooted_groups(docs)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = stays.groupBy("root", "doc_id").agg(F.min("text_hash").alias("text_hash"))
-    return only_kept(docs, one.drop("root"))
+    """One row of docs for each component, whatever its ids: the one of the smallest doc_id (none comes last), then place in the table.
+
+    Null and empty texts are one component. Rows are known by their place, so that
+    components whose rows have null or repeated ids keep a row each. An empty table gives none.
+    """
+    docs = identified(docs)
+    # Order of the choice: rows with an id first, by id, then by place.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    one = simhash_groups(docs).groupBy("root").agg(best.alias("best"))
+    return only_kept(docs, one.select(F.col("best.rid").alias("rid")))

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from millrace.llm import attention, exact_dedup, lm_score, mixing, sharding, simhash
 from millrace.llm.common import hex_digits, running
 
@@ -123,7 +125,7 @@ def test_simhash_groups(corpus, empty):
     assert got == want
     stage = simhash.simhash_stage(None, df, "")
     assert stage.columns == df.columns
-    assert sorted(r["doc_id"] for r in stage.collect() if r["doc_id"] is not None) == sorted({min(v) for v in least.values() if v})
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in stage.collect()) == sorted((not v, min(v, default=0)) for v in least.values())
     assert simhash.simhash_groups(empty).count() == 0
 
 
@@ -137,6 +139,46 @@ def test_simhash_stage_keeps_one_row_of_each_component(spark):
     assert got == Counter([(None, a), (None, b), (7, c), (7, d), (3, e)])
 
 
+def test_split_join_and_ranks(spark, monkeypatch):
+    from millrace.llm import common
+
+    rows = spark.createDataFrame([(None if i % 3 == 0 else i % 50, i) for i in range(2000)], "k long, v long").repartition(3)
+    counts = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    table = counts.select("k", (F.coalesce("k", F.lit(-1)) * 2).alias("twice")).filter("k is null or k <> 7")
+    monkeypatch.setattr(common, "HEAVY", 10)
+    for how in ("inner", "left"):
+        got = Counter((r["k"], r["v"], r["twice"]) for r in common.split_join(rows, table, ["k"], 2000, counts, how).collect())
+        want = Counter()
+        for i in range(2000):
+            k = None if i % 3 == 0 else i % 50
+            if k != 7 or how == "left":
+                want[k, i, None if k == 7 else -2 if k is None else 2 * k] += 1
+        assert got == want
+    ranked = common.numbered(rows.select("v"), F.col("v").desc()).collect()
+    assert sorted(r["rank"] for r in ranked) == list(range(1, 2001)) and all(r["rank"] == 2000 - r["v"] for r in ranked)
+
+
+def test_row_ids_are_the_same_in_every_reading(spark, tmp_path):
+    from millrace.llm import common
+
+    spark.range(5000).selectExpr("id % 10 as doc_id", "'x' as text").repartition(4).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    for table in (docs, docs.filter("doc_id < 5"), docs.repartition(3), docs.select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("e")), docs.union(docs)):
+        a, b = common.identified(table), common.identified(table)
+        assert a.select(common.RID).distinct().count() == table.count()
+        one = common.identified(table)
+        assert one.join(one.select(F.col(common.RID).alias("r")).distinct(), F.col(common.RID) == F.col("r")).count() == table.count()
+        if table is docs:
+            assert a.join(b.select(F.col(common.RID).alias("r")), F.col(common.RID) == F.col("r")).count() == 5000
+    made = len(common._made)
+    with common.released():
+        path = common.stored(docs).inputFiles()[0]
+    assert len(common._made) == made
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def test_running_sums(spark):
     rows = [(f"g{i % 2}", hashlib.md5(str(i).encode()).hexdigest(), i, i % 5) for i in range(300)]
     df = spark.createDataFrame(rows, "g string, h string, k long, v long")
@@ -187,6 +229,51 @@ def test_mixing(corpus, empty):
     assert mixing.mix_plan(empty).count() == 0
 
 
+def test_what_is_taken_comes_from_the_splitting_tree(corpus, monkeypatch):
+    _, df = corpus
+    whole = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, shards: np.zeros((shards, len(quotas)), np.int64))
+    assert {r["taken"] for r in mixing.mix_plan(df).collect()} == {0}
+    monkeypatch.setattr(mixing, "WORDS_PER_SHARD", 1000)
+    given = {}
+
+    def seen(quotas, shards):
+        given["tree"] = whole(quotas, shards)
+        return given["tree"]
+
+    monkeypatch.setattr(mixing, "splitting_tree", seen)
+    blocks = {}
+    for r in mixing.mix_plan(df).collect():
+        for copy, shard in enumerate(r["shards"]):
+            blocks.setdefault(shard, set()).add((r["doc_id"], copy))
+    assert len(given["tree"]) > 10 and set(blocks) <= set(range(len(given["tree"]))) and len(blocks) > 10
+
+
+def test_mixing_of_many_sources(spark):
+    """More sources than the tree has columns: each still meets its target."""
+    rows = [(i, " ".join(["w"] * (i % 7)), f"host{i % 400}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sizes, taken = Counter(), Counter()
+    for i, t, s in rows:
+        sizes[s] += i % 7
+    target = water_fill(sizes)
+    for r in mixing.mix_plan(df).collect():
+        taken[r["source"]] += r["taken"]
+        assert r["target"] == pytest.approx(target[r["source"]])
+    assert all(abs(taken[s] - t) <= 6 for s, t in target.items())
+
+
+def test_mixing_with_one_id_everywhere(spark, monkeypatch):
+    from millrace.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    df = spark.createDataFrame([(None if i % 3 else 7, "w " * (i % 5), "a") for i in range(900)], "doc_id long, text string, source string").repartition(4)
+    plan = mixing.mix_plan(df).collect()
+    assert len(plan) == 900 and abs(sum(r["taken"] for r in plan) - 1.5 * 1800) <= 4
+    mixed = mixing.mixing_stage(None, df, "").collect()
+    assert abs(sum(len(r["text"].split()) for r in mixed) - 1.5 * 1800) <= 4
+
+
 def test_mixing_stage(corpus, empty):
     rows, df = corpus
     times = Counter()
