@@ -145,20 +145,20 @@ def small(df: DataFrame, rows: int, most: int = 10_000) -> DataFrame:
 HEAVY = 1000
 
 
-def split_join(rows: DataFrame, table: DataFrame, on: Sequence[str], n_rows: int, counts: DataFrame, how: str = "inner") -> DataFrame:
-    """rows joined with the one row of `table` for their key; keys that hold many rows meet a broadcast.
-
-    counts(*on, n) tells exactly how many rows each key has. Keys of over n_rows/HEAVY
-    rows, fewer than HEAVY, are broadcast; all others are shuffled. Null keys are keys.
-    """
+def heavy_keys(counts: DataFrame, on: Sequence[str], n_rows: int) -> DataFrame | None:
+    """The keys of counts(*on, n) that hold over n_rows/HEAVY rows, fewer than HEAVY; None if there are none."""
     if n_rows < HEAVY:
-        heavy = None
-    else:
-        heavy = stored(counts.filter(F.col("n") * HEAVY > n_rows).select(*[F.col(c).alias(f"_h_{c}") for c in on]))
+        return None
+    heavy = stored(counts.filter(F.col("n") * HEAVY > n_rows).select(*[F.col(c).alias(f"_h_{c}") for c in on]))
+    return None if heavy.isEmpty() else heavy
+
+
+def split_join(rows: DataFrame, table: DataFrame, on: Sequence[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with the one row of `table` for their key; the heavy_keys of rows meet a broadcast, all others are shuffled. Null keys are keys."""
     named = table.select(*[F.col(c).alias(f"_k_{c}") for c in on], *[c for c in table.columns if c not in on])
     keyed = same([F.col(c) for c in on], [F.col(f"_k_{c}") for c in on])
     drop = [f"_k_{c}" for c in on]
-    if heavy is None or heavy.isEmpty():
+    if heavy is None:
         return rows.join(named, keyed, how).drop(*drop)
     is_heavy = same([F.col(c) for c in on], [F.col(f"_h_{c}") for c in on])
     few = named.join(F.broadcast(heavy), same([F.col(f"_k_{c}") for c in on], [F.col(f"_h_{c}") for c in on]), "left_semi")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, hex_digits, id_hash, identified, numbered, running, same, split_join, stored, text_or_empty, with_rid, word_count
+from .common import RID, heavy_keys, hex_digits, id_hash, identified, numbered, running, same, split_join, stored, text_or_empty, with_rid, word_count
 
 WEIGHTS = (3, 1, 2)
 #: The mix takes SHARE[0]/SHARE[1] of all words; no source gives more than CAP times its own.
@@ -99,7 +99,7 @@ def _in_blocks(rows: DataFrame, n_rows: int, weights, share, cap: int) -> tuple[
     targets = stored(targets.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("line", F.col("source_size") + F.col("n")))
     # A document takes one place more than it has words, so that empty ones are dealt over blocks too.
     place = F.col("size") + 1
-    sided = split_join(rows, targets.select("source", "source_size", "line"), ["source"], n_rows, sizes)
+    sided = split_join(rows, targets.select("source", "source_size", "line"), ["source"], heavy_keys(sizes, ["source"], n_rows))
     sided = sided.withColumns({"place": place, "one": F.lit(1).cast("long"), "large": place * LARGE > F.col("line")})
     sided = sided.withColumn("side", F.struct("source", "large"))
     most = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
@@ -118,10 +118,10 @@ def _block_draws(rows: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
     """
     blocks = stored(rows.groupBy("source", "large", "block").agg(F.sum("size").alias("words")))
     counts = stored(blocks.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
-    n_blocks = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = heavy_keys(counts, ["source"], counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
     def per_source(table: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-        return split_join(table, facts, ["source"], n_blocks, counts, how)
+        return split_join(table, facts, ["source"], heavy, how)
 
     order = F.lpad(F.hex("block"), 16, "0")
     sided = per_source(blocks, targets.select("source", "rank", "source_size", "target", "passes", "rest"))
@@ -194,7 +194,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> D
     whole = placed.join(named.hint("merge"), on, "left").drop(*[f"_{c}" for c in key])
     whole = whole.withColumn("shards", F.coalesce("shards", F.array().cast("array<int>"))).withColumn("times", F.size("shards").cast("long"))
     sources = stored(placed.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
-    whole = split_join(whole, targets.select("source", "target"), ["source"], n_rows, sources)
+    whole = split_join(whole, targets.select("source", "target"), ["source"], heavy_keys(sources, ["source"], n_rows))
     return whole.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), "shards", "rid")
 
 

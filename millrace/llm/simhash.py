@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, with_columns
-from .common import identified, only_kept, split_join, stored, with_rid
+from .common import heavy_keys, identified, only_kept, split_join, stored, with_rid
 
 SHINGLE = 3
 RADIUS = 2
@@ -256,11 +256,11 @@ def simhash_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     # A root may name most fingerprints, and a fingerprint most rows: both meet their one row by split joins.
     sizes = stored(label.join(nodes, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
     n_linked = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    named = split_join(label, sizes.drop("n"), ["root"], n_linked, sizes)
+    named = split_join(label, sizes.drop("n"), ["root"], heavy_keys(sizes, ["root"], n_linked))
     answer = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least_id").alias("component_id"))
     answer = stored(answer)
     n_rows = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return split_join(rows, answer, ["fp"], n_rows, nodes).select("doc_id", "fp", "component_id", "root", "rid")
+    return split_join(rows, answer, ["fp"], heavy_keys(nodes, ["fp"], n_rows)).select("doc_id", "fp", "component_id", "root", "rid")
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

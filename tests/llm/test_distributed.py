@@ -147,7 +147,7 @@ def test_split_join_and_ranks(spark, monkeypatch):
     table = counts.select("k", (F.coalesce("k", F.lit(-1)) * 2).alias("twice")).filter("k is null or k <> 7")
     monkeypatch.setattr(common, "HEAVY", 10)
     for how in ("inner", "left"):
-        got = Counter((r["k"], r["v"], r["twice"]) for r in common.split_join(rows, table, ["k"], 2000, counts, how).collect())
+        got = Counter((r["k"], r["v"], r["twice"]) for r in common.split_join(rows, table, ["k"], common.heavy_keys(counts, ["k"], 2000), how).collect())
         want = Counter()
         for i in range(2000):
             k = None if i % 3 == 0 else i % 50

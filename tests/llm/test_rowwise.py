@@ -199,20 +199,118 @@ def labelled(spark, n=400):
     return spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), labels
 
 
+def pii_contexts(words, first, last):
+    """The patterns around words first to last, as tuples."""
+    out = []
+    if first >= 2:
+        out.append(("two", words[first - 2], words[first - 1]))
+    if first >= 1 and last + 1 < len(words):
+        out.append(("around", words[first - 1], words[last + 1]))
+    lead = re.match(r"(?:[^\w]|_)*", words[first]).group()
+    if first >= 1 and lead:
+        out.append(("signs", words[first - 1], lead))
+    return out
+
+
 def test_pii_context_is_of_the_whole_text(spark):
     far = "x" * 400
-    texts = ["ab a@x.com; mail b@y.com or c@z.com,d@z.com", f"see code {far} AB12345 or CD67890 EF13579\n", "one AB12345", f" \n two {far}\tthree 10.0.0.1\n10.0.0.2 +1 555 123 4567 end 4111 1111 1111 1111 of GH24680 IJ12345", ""]
-    pair = lambda a, b: F.xxhash64(F.lit(a), F.lit(b))
+    texts = ["ab a@x.com; mail b@y.com or c@z.com,d@z.com", f"see code {far} AB12345 or CD67890 EF13579\n", "one AB12345", f" \n two {far}\tthree 10.0.0.1\n10.0.0.2 +1 555 123 4567 end 4111 1111 1111 1111 of GH24680 IJ12345", "", 'a b = "XY11223" c']
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     n = 0
     for r in pii.entities(rows).collect():
         ws = list(WORD.finditer(texts[r["doc_id"]]))
         for i in r["items"]:
-            k = next(k for k, w in enumerate(ws) if w.start() <= i["start"] < w.end())
-            want = spark.range(1).select(pair(ws[k - 2].group(), ws[k - 1].group())).first()[0] if k >= 2 else None
-            assert (i["word"], i["pattern"]) == (k, want), (r["doc_id"], i)
+            at = [k for k, w in enumerate(ws) if w.end() > i["start"] and w.start() < i["end"]]
+            want = [F.xxhash64(*map(F.lit, c)) for c in pii_contexts([w.group() for w in ws], at[0], at[-1])]
+            got = spark.range(1).select(F.array(*want)).first()[0] if want else []
+            assert (i["word"], i["patterns"]) == (at[0], got), (r["doc_id"], i)
             n += 1
-    assert n == 14
+    assert n == 15
+
+
+def brute_discovery(texts):
+    """The method in plain loops: believed values after the rounds."""
+    word = re.compile(pii.WORD)
+    key = re.compile(pii.KEY)
+    total, entities_at = Counter(), []
+    for t in texts:
+        ws = list(word.finditer(t))
+        names = [w.group() for w in ws]
+        for k in range(len(ws)):
+            total.update(pii_contexts(names, k, k) if k else [])
+        seeds = [(s, e, t[s:e], 0) for s, _, _, e in base_spans(t)]
+        for m in re.finditer(pii.TOKEN, t):
+            if not any(s < m.end() and e > m.start() for s, e, _, _ in seeds):
+                seeds.append((m.start(), m.end(), m.group(), 1 if key.match(m.group()) else 2))
+        begins = Counter()
+        for s, _, _, _ in seeds:
+            begins[next(k for k, w in enumerate(ws) if w.start() <= s < w.end())] += 1
+        for s, e, v, kind in seeds:
+            at = [k for k, w in enumerate(ws) if w.end() > s and w.start() < e]
+            entities_at.append((v, kind, 1 / begins[at[0]], pii_contexts(names, at[0], at[-1])))
+    graph, kinds = {}, {}
+    for v, kind, share, patterns in entities_at:
+        kinds[v] = min(kind, kinds.get(v, 9))
+        for p in patterns:
+            graph.setdefault(p, Counter())[v] += share
+        if kind:
+            hexa = re.match(r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,}$", v)
+            shape = f"hex{len(v)}" if hexa else re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", v)))
+            graph.setdefault(("shape", shape), Counter())[v] += 1
+    belief = {}
+    while True:
+        confident = {}
+        for p, vs in graph.items():
+            b = {v: 1.0 if kinds[v] < 2 else belief.get(v, 0.0) for v in vs}
+            good = sum(b[v] * n for v, n in vs.items())
+            bad = sum(vs.values()) - good if p[0] == "shape" else total[p] - sum(vs.values())
+            if sum(x >= pii.LEAST_BELIEF for x in b.values()) >= pii.LEAST_INSTANCES and good / (good + bad) >= pii.LEAST_CONFIDENCE - 1e-9:
+                confident[p] = good / (good + bad)
+        fresh = {}
+        for v, kind in kinds.items():
+            if kind == 2:
+                doubt = 1.0
+                for p, vs in graph.items():
+                    if v in vs and p in confident:
+                        doubt *= max(1e-9, 1 - confident[p])
+                if 1 - doubt >= pii.LEAST_BELIEF:
+                    fresh[v] = 1 - doubt
+        if sum(fresh.values()) <= sum(belief.values()) + pii.SETTLED:
+            return set(belief)
+        belief = fresh
+
+
+def test_pii_rounds_against_plain_loops(spark):
+    """Chains of discovery: seeds, a context, a shape, another context; a context that ordinary words fill too."""
+    rng = random.Random(9)
+    words = "stone river green walk light under quick seven paper glass".split()
+    fill = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    texts = [f'{fill(4)} token = "{hexa(40)}" {fill(4)}' for _ in range(6)]
+    texts += [f'{fill(3)} token = "{v}" {fill(3)}' for v in ("QX-771-20", "QX-772-21", "QX-773-22", "zz9_plural_77")]
+    texts += [f"{fill(3)} badge of {v} here {fill(2)}" for v in ("QX-771-20", "QX-772-21", "QX-773-22", "new88ab1", "new99cd2")]
+    texts += [f"{fill(3)} number {v} stands {fill(2)}" for v in ("1234567890123456", "QX-900-10", "1111-22", "word", "10.1.1.1", "7.7.7.7")]
+    texts += [f"write {fill(1)} x{k}@mail.org {fill(3)} 12345{k}" for k in range(5)] + [fill(50), "", "AB12345"]
+    found = brute_discovery(texts)
+    assert {"QX-771-20", "zz9_plural_77", "QX-900-10", "new88ab1"} <= found and "1234567890123456" not in found
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    each = pii.entities(rows).select("rid", F.explode("items").alias("i")).select("rid", "i.*")
+    assert {r["value"] for r in pii.discover(pii.stored(each), rows).collect()} == found
+    spans = {r["doc_id"]: r for r in pii.find_pii(rows).collect()}
+    for i, t in enumerate(texts):
+        assert spans[i]["n_id"] == sum(v in t for v in found) and spans[i]["n_key"] == (i < 6)
+        assert spans[i]["n_spans"] == len(spans[i]["found"])
+
+
+def test_pii_finds_hidden_keys_by_context(spark):
+    """At sf0.01 the context of the keys of one half reveals those of the other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    each = pii.stored(pii.entities(docs)).select("rid", F.explode("items").alias("i")).select("rid", "i.*")
+    is_key = F.col("kind") == pii.KINDS.index("key")
+    hidden = each.withColumn("kind", F.when(is_key & (F.crc32("value") % 2 == 0), pii.KINDS.index("id")).otherwise(F.col("kind")))
+    want = {r["value"] for r in each.filter(is_key & (F.crc32("value") % 2 == 0)).collect()}
+    found = {r["value"] for r in pii.discover(hidden, docs).collect()}
+    assert len(want) >= 3 and len(want & found) >= 0.9 * len(want)
 
 
 def test_pii_finds_ids_in_plain_lists(spark):
