@@ -145,11 +145,17 @@ def pattern_totals(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     words = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS[-1])).alias("part"), text_or_empty().alias("text"))
     left = wanted.withColumn("total", F.lit(0).cast("long"))
-    at = F.sequence(F.lit(1), F.size("w") - 1)
+    near = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.col("w")).alias("a"), F.col("w").alias("b"), F.expr("slice(w, 2, size(w))").alias("c"))
+    inside = F.col("a").isNotNull() & F.col("c").isNotNull()
+    two = F.when(inside, F.xxhash64(F.lit("two"), F.col("a"), F.col("b")))
+    around = F.when(inside, F.xxhash64(F.lit("around"), F.col("a"), F.col("c")))
+    lead = F.regexp_extract("b", LEAD, 0)
+    signs = F.when(F.col("a").isNotNull() & (lead != ""), F.xxhash64(F.lit("signs"), F.col("a"), lead))
     for low, high in zip(PARTS, PARTS[1:]):
         n_left = left.count()
         some = words.filter((F.col("part") >= low) & (F.col("part") < high)).select(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
-        seen = some.filter(F.size("w") >= 2).select(F.explode(F.flatten(F.transform(at, lambda i: _contexts(F.col("w"), i, i)))).alias("pattern"))
+        seen = some.filter(F.size("w") >= 2).select(F.inline(near).alias("a", "b", "c")).filter("b is not null")
+        seen = seen.select(F.explode(F.array(two, around, signs)).alias("pattern"))
         seen = seen.join(small(left.select("pattern"), n_left, 1_000_000), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("more"))
         left = left.join(seen, "pattern", "left").select("pattern", "n", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"))
         left = stored(left.filter(F.col("total") * F.lit(LEAST_CONFIDENCE) <= F.col("n") + F.lit(1e-6)))
