@@ -1,19 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Each word of a clause becomes a symbol (insult, threat, target, negation, reporting
-verb, other). Four small transducers read the symbols one after the other and rewrite
-insults and threats into marked ones: negated, reported, aimed at a target. Their
-composition is one deterministic transducer, which reads a clause once and emits its
-matches. A text's score is logistic in the number of matched clauses of each kind,
-and in their density, with weights learnt from labelled rows around stated prior
-weights. Words that hardly any but toxic labelled texts use form a class of their own,
-"learnt"; for the weights, each half of the sample is read with the words learnt from
-the other half, so that they are not trusted more than they deserve.
+Each word of a clause becomes a symbol (insult, threat, target, speaker, negation,
+reporting verb, intensifier, other). Four small transducers read the symbols from left
+to right and mark insults and threats: negated, reported, strengthened, aimed at who
+was named before. Three more read the outcome from right to left: aimed at who is
+named after, reported by a verb at the end of the clause, and threats that are aimed
+at nobody are dropped. The composition of each side is one deterministic transducer,
+so a clause is read once in each direction. A matched clause counts as its strongest
+match. A text's score is logistic in the number of matched clauses of each kind, and
+in their share of all clauses, with weights learnt from labelled rows around stated
+prior weights. Words that hardly any but toxic labelled texts use form a class of
+their own, "learnt"; for the weights, each half of the sample is read with the words
+learnt from the other half, so that they are not trusted more than they deserve.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -29,19 +33,23 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Labelled rows that are learnt from, at most.
 SAMPLE = 20_000
-#: A word is learnt if so many toxic sample texts have it and it is rarer in clean ones by this factor; the most that are kept.
-LEAST_TOXIC, MOST_CLEAN, MOST_LEARNT = 4, 0.12, 600
+#: A word is learnt if so many toxic sample texts have it and it is rarer in clean ones by this factor.
+LEAST_TOXIC, MOST_CLEAN = 4, 0.12
 
 INSULTS = frozenset(
     "idiot idiots moron morons stupid trash worthless pathetic disgusting clown scum loser losers dumb fool "
     "imbecile garbage vermin filth filthy pig pigs coward ugly jerk freak creep liar lunatic parasite".split()
 )
 THREATS = frozenset("kill hurt destroy stab shoot murder beat strangle burn hang punish".split())
-TARGETS = frozenset("you your yours yourself u he him his she her they them their those these people everyone".split())
+SUFFERED = frozenset("killed hurt destroyed stabbed shot murdered beaten strangled burned hanged punished die".split())
+TARGETS = frozenset("you your yours yourself yourselves u he him his himself she her herself they them themselves their those these people everyone".split())
+SPEAKERS = frozenset("i i'm me my myself we we're us our ourselves".split())
 NEGATIONS = frozenset("not no never neither nor none without hardly isn't aren't wasn't weren't don't doesn't didn't won't can't cannot".split())
 REPORTS = frozenset("said says say wrote writes reported reports claimed claims quoted quotes quote alleged called stated according".split())
+INTENSIFIERS = frozenset("so such very really absolute absolutely complete completely total totally utter utterly damn bloody fucking".split())
 
-NEGATION_REACH, TARGET_REACH = 3, 6
+#: Words over which a negation, an intensifier, a target before and a target after reach.
+NEGATION_REACH, STRENGTH_REACH, TARGET_REACH, AIM_REACH = 3, 2, 6, 3
 _CLAUSE = re.compile(r"[.!?;\n]+(?=\s|$)|\n")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
@@ -79,27 +87,34 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer(start, arcs)
 
 
-#: Symbols: o other, y target, n negation, r report; a match is (kind, marks) with kind i insult, l learnt word or h threat.
-PLAIN = ("o", "y", "n", "r")
-KINDS = ("i", "l", "h")
+#: Symbols: o other, y target, f speaker, n negation, r report, x intensifier; a match is (kind, marks) with kind
+#: i insult, l learnt word, h threat, p something suffered; marks n negated, r reported, s strengthened, then t aimed or f of the speaker.
+PLAIN = ("o", "y", "f", "n", "r", "x")
+KINDS = ("i", "l", "h", "p")
+ENDS = ("", "t", "f")
 
 
-def _matches(marks: str):
-    return [(k, "".join(m)) for k in KINDS for m in product(*[("", x) for x in marks])]
+def _matches(marks: str, ends=("",)) -> list[tuple[str, str]]:
+    return [(k, "".join(m) + e) for k in KINDS for m in product(*[("", x) for x in marks]) for e in ends]
 
 
-def negation() -> Transducer:
-    """Marks matches up to NEGATION_REACH words after a negation."""
+def _reach(symbol: str, most: int, before: str, mark) -> Transducer:
+    """Marks matches up to `most` words after the symbol; `before` are the marks made already."""
     arcs = {}
-    for left in range(NEGATION_REACH + 1):
+    for left in range(most + 1):
         after = max(0, left - 1)
         for s in PLAIN:
-            arcs[left, s] = (NEGATION_REACH if s == "n" else after, s)
-        for k in KINDS:
-            arcs[left, (k, "")] = (after, (k, "n" if left else ""))
+            arcs[left, s] = (most if s == symbol else after, s)
+        for m in _matches(before):
+            arcs[left, m] = (after, mark(m) if left else m)
     return Transducer(0, arcs)
 
 
+def negation() -> Transducer:
+    """Marks matches up to NEGATION_REACH words after a negation."""
+    return _reach("n", NEGATION_REACH, "", lambda m: (m[0], "n"))
+
+
 def reporting() -> Transducer:
     """Marks matches after a reporting verb of the clause."""
     arcs = {}
@@ -111,70 +126,118 @@ def reporting() -> Transducer:
     return Transducer(0, arcs)
 
 
-def targeting() -> Transducer:
-    """Marks matches up to TARGET_REACH words after a target."""
+def insulting() -> Transducer:
+    """Marks insults and learnt words up to STRENGTH_REACH words after an intensifier or another of them."""
     arcs = {}
-    for left in range(TARGET_REACH + 1):
+    for left in range(STRENGTH_REACH + 1):
         after = max(0, left - 1)
         for s in PLAIN:
-            arcs[left, s] = (TARGET_REACH if s == "y" else after, s)
+            arcs[left, s] = (STRENGTH_REACH if s == "x" else after, s)
         for m in _matches("nr"):
-            arcs[left, m] = (after, (m[0], m[1] + ("t" if left else "")))
+            strong = m[0] in "il"
+            arcs[left, m] = (STRENGTH_REACH if strong else after, (m[0], m[1] + "s") if strong and left else m)
     return Transducer(0, arcs)
 
 
-def threatening() -> Transducer:
-    """Keeps insults and learnt words; keeps a threat only if it is aimed at a target or follows an insult or target of the clause."""
+def targeting() -> Transducer:
+    """Marks insults, and what is suffered, by who was named last up to TARGET_REACH words before: a target or the speaker."""
     arcs = {}
-    for hostile in (0, 1):
+    for who in ("t", "f"):
+        for left in range(TARGET_REACH + 1):
+            after = (who, left - 1) if left > 1 else ("t", 0)
+            for s in PLAIN:
+                arcs[(who, left), s] = ({"y": ("t", TARGET_REACH), "f": ("f", TARGET_REACH)}.get(s, after), s)
+            for m in _matches("nrs"):
+                arcs[(who, left), m] = (after, (m[0], m[1] + who) if left and m[0] != "h" else m)
+    return Transducer(("t", 0), arcs)
+
+
+def aiming() -> Transducer:
+    """From the right: marks threats and insults up to AIM_REACH words before a target."""
+    arcs = {}
+    for left in range(AIM_REACH + 1):
+        after = max(0, left - 1)
         for s in PLAIN:
-            arcs[hostile, s] = (1 if s == "y" else hostile, s)
-        for m in _matches("nrt"):
-            keep = m[0] != "h" or hostile or "t" in m[1]
-            arcs[hostile, m] = (1 if keep else hostile, m if keep else "o")
+            arcs[left, s] = (AIM_REACH if s == "y" else after, s)
+        for m in _matches("nrs", ENDS):
+            aimed = left and (m[0] == "h" or m[1][-1:] not in ("t", "f"))
+            arcs[left, m] = (after, (m[0], m[1].rstrip("tf") + "t") if aimed else m)
     return Transducer(0, arcs)
 
 
-def grammar() -> Transducer:
-    return compose(compose(compose(negation(), reporting()), targeting()), threatening())
+def quoting() -> Transducer:
+    """From the right: marks matches of a clause whose last or last but one word is a reporting verb."""
+    arcs = {}
+    for place, told in product(range(3), (0, 1)):
+        after = min(place + 1, 2)
+        for s in PLAIN:
+            arcs[(place, told), s] = ((after, 1 if s == "r" and place < 2 else told), s)
+        for kind, marks in _matches("nrs", ENDS):
+            more = "r" if told and "r" not in marks else ""
+            arcs[(place, told), (kind, marks)] = ((after, told), (kind, "".join(x for x in "nrstf" if x in marks + more)))
+    return Transducer((0, 0), arcs)
+
+
+def threatening() -> Transducer:
+    """Drops threats, and what is suffered, that are aimed at nobody."""
+    arcs = {(0, s): (0, s) for s in PLAIN}
+    for m in _matches("nrs", ENDS):
+        arcs[0, m] = (0, m if m[0] in "il" or m[1].endswith("t") else "o")
+    return Transducer(0, arcs)
+
+
+FORWARD, BACKWARD = (negation, reporting, insulting, targeting), (aiming, quoting, threatening)
+
+
+def grammar() -> tuple[Transducer, Transducer]:
+    """The transducer that reads a clause, and the one that reads its outcome from the right."""
+    return tuple(reduce(compose, [t() for t in side]) for side in (FORWARD, BACKWARD))
+
+
+def matches_of(symbols: list, machine: tuple[Transducer, Transducer]) -> list[tuple[str, str]]:
+    """The matches of a clause with their marks, in order."""
+    forward, backward = machine
+    out = backward.run(reversed(forward.run(symbols)))
+    return [o for o in reversed(out) if isinstance(o, tuple)]
 
 
-#: Matches in the order of their features, with prior weights: aimed weighs more; negated and reported weigh less.
-EVENTS = _matches("nrt")
-BASE = {"i": 2.0, "l": 0.5, "h": 1.0}
-PRIOR = np.array([BASE[k] * (1 + 0.4 * ("t" in m)) * (0.3 if "n" in m else 1) * (0.5 if "r" in m else 1) for k, m in EVENTS] + [0.5] * len(KINDS))
+#: Matches in the order of their features, with prior weights: aimed and strengthened weighs more; negated, reported and of oneself less.
+EVENTS = [m for m in _matches("nrs", ENDS) if m[0] in "il" or m[1].endswith("t")]
+BASE = {"i": 2.0, "l": 0.5, "h": 2.5, "p": 2.0}
+MARKS = {"n": 0.3, "r": 0.5, "s": 1.2, "t": 1.4, "f": 0.4}
+EVENT_PRIOR = np.array([BASE[k] * np.prod([MARKS[x] for x in m]) for k, m in EVENTS])
+PRIOR = np.append(EVENT_PRIOR, [0.5] * len(KINDS))
 PRIOR_BIAS = -2.0
 
 
 def classes(learnt: frozenset[str] = frozenset()) -> dict[str, object]:
     """The symbol of each listed word."""
     table: dict[str, object] = dict.fromkeys(learnt, ("l", ""))
-    for words, s in ((REPORTS, "r"), (NEGATIONS, "n"), (TARGETS, "y"), (THREATS, ("h", "")), (INSULTS, ("i", ""))):
+    lists = (INTENSIFIERS, "x"), (REPORTS, "r"), (NEGATIONS, "n"), (SPEAKERS, "f"), (TARGETS, "y"), (SUFFERED, ("p", "")), (THREATS, ("h", "")), (INSULTS, ("i", ""))
+    for words, s in lists:
         table |= dict.fromkeys(words, s)
     return table
 
 
-def clause_counts(texts: list[bytes], table: dict[str, object], machine: Transducer) -> np.ndarray:
-    """For each text, how many clauses match each event (each event once a clause), then matches for 100 words of each kind."""
+def clause_counts(texts: list[bytes], table: dict[str, object], machine: tuple[Transducer, Transducer]) -> np.ndarray:
+    """For each text, how many clauses have each event as their strongest match, then the share of clauses of each kind."""
     hot = [w for w, s in table.items() if isinstance(s, tuple)]
-    trigger = re.compile("|".join(map(re.escape, sorted({w[:4] for w in hot}))))
+    trigger = re.compile("|".join(map(re.escape, sorted({w[:4] for w in hot})))) if hot else None
     index = {e: i for i, e in enumerate(EVENTS)}
     out = np.zeros((len(texts), len(PRIOR)))
     for row, raw in enumerate(texts):
         text = raw.decode("utf-8", "replace").lower()
-        if not trigger.search(text):
+        if trigger is None or not trigger.search(text):
             continue
         total = 0
         for clause in _CLAUSE.split(text):
             symbols = [table.get(w.replace("’", "'"), "o") for w in _WORD.findall(clause)]
-            total += len(symbols)
-            if any(isinstance(s, tuple) for s in symbols):
-                found = [o for o in machine.run(symbols) if isinstance(o, tuple)]
-                for e in set(found):
-                    out[row, index[e]] += 1
-                for kind, _ in found:
-                    out[row, len(EVENTS) + KINDS.index(kind)] += 1
-        out[row, len(EVENTS) :] *= 100 / max(total, 1)
+            total += bool(symbols)
+            if any(isinstance(s, tuple) for s in symbols) and (found := matches_of(symbols, machine)):
+                best = max((index[m] for m in found), key=lambda i: (EVENT_PRIOR[i], -i))
+                out[row, best] += 1
+                out[row, len(EVENTS) + KINDS.index(EVENTS[best][0])] += 1
+        out[row, len(EVENTS) :] /= max(total, 1)
     return out
 
 
@@ -211,8 +274,8 @@ def learnt_words(sample: DataFrame) -> list[frozenset[str]]:
     fine = [
         (F.col(f"t{i}") >= LEAST_TOXIC) & (F.col(f"c{i}") * total[f"t{i}"] <= MOST_CLEAN * F.col(f"t{i}") * total[f"c{i}"]) for i in range(3)
     ]
-    found = seen.select("word", "t2", *[f.alias(f"f{i}") for i, f in enumerate(fine)]).filter("f0 or f1 or f2")
-    rows = found.orderBy(F.desc("t2"), "word").limit(MOST_LEARNT).collect()
+    # The sample is bounded, and each word takes LEAST_TOXIC of its texts, so the driver gets a bounded list.
+    rows = seen.select("word", *[f.alias(f"f{i}") for i, f in enumerate(fine)]).filter("f0 or f1 or f2").collect()
     return [frozenset(r["word"] for r in rows if r[f"f{i}"]) for i in range(3)]
 
 
@@ -220,8 +283,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """doc_id, held_out, score and predicted for every row of docs.
 
     Null and empty texts match nothing and get the score of the bias; without labelled
-    rows the prior weights hold. Rows that repeat a doc_id are scored one by one; an
-    empty table gives no rows; other columns are not read.
+    rows the prior weights hold. A text of any length is read whole, clause by clause.
+    Rows that repeat a doc_id are scored one by one; of contradicting labels of one
+    doc_id the larger holds; equal texts get equal scores. An empty table gives no
+    rows; other columns are not read.
     """
     chosen = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, sample, "toxic-")
     chosen = stored(chosen.withColumn("half", F.pmod(F.xxhash64("digest"), F.lit(2)).cast("int")))

@@ -347,22 +347,122 @@ def test_held_out_labels_are_not_learnt(spark):
     assert a == quality_classifier.score_quality(docs, flipped).orderBy("doc_id").collect()
 
 
-def test_grammar():
-    machine, table = toxicity.grammar(), toxicity.classes()
-
-    def events(text):
-        c = toxicity.clause_counts([text.encode()], table, machine)[0]
-        return {k + m for (k, m), n in zip(toxicity.EVENTS, c) if n}
-
-    assert events("You are an idiot.") == {"it"}
-    assert events("What an idiot") == {"i"}
-    assert events("You are not an idiot") == {"int"}
-    assert events("She said that you are an idiot") == {"irt"}
-    assert events("kill the lights") == set()
-    assert events("I will kill you. Then you I kill") == {"ht"}
-    assert events("they wrote it. idiot!") == {"i"}
-    for clause in (["y", ("i", ""), "n", "o", ("h", "")], ["r", "n", "o", "o", ("i", ""), "y", ("h", "")]):
+def test_held_out_toxic_labels_are_not_learnt(spark):
+    docs, labels, _ = labelled(spark, 150)
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a = toxicity.score_toxicity(docs, labels).orderBy("doc_id").collect()
+    assert a == toxicity.score_toxicity(docs, flipped).orderBy("doc_id").collect()
+
+
+def events(text):
+    table, machine = toxicity.classes(), toxicity.grammar()
+    found = []
+    for clause in toxicity._CLAUSE.split(text.lower()):
+        found += toxicity.matches_of([table.get(w, "o") for w in toxicity._WORD.findall(clause)], machine)
+    return [k + m for k, m in found]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("You are an idiot.", ["it"]),
+        ("What an idiot", ["i"]),
+        ("What an idiot he is", ["it"]),
+        ("You are such an idiot", ["ist"]),
+        ("You pathetic loser", ["it", "ist"]),
+        ("You are not an idiot", ["int"]),
+        ("I am an idiot", ["if"]),
+        ("She said that you are an idiot", ["irt"]),
+        ("You are an idiot, he said", ["irt"]),
+        ("I will kill you", ["ht"]),
+        ("we will kill them all", ["ht"]),
+        ("kill yourself", ["ht"]),
+        ("someone should shoot her", ["ht"]),
+        ("You should be shot", ["pt"]),
+        ("I will never hurt you", ["hnt"]),
+        ("kill the lights", []),
+        ("the sun hurt", []),
+        ("they wrote it. idiot!", ["i"]),
+    ],
+)
+def test_grammar(text, want):
+    assert events(text) == want
+
+
+def test_grammar_is_the_composition_of_its_transducers():
+    rng = random.Random(4)
+    machine = toxicity.grammar()
+    words = [*toxicity.PLAIN, *[(k, "") for k in toxicity.KINDS]]
+    for _ in range(300):
+        clause = [rng.choice(words) for _ in range(rng.randint(1, 14))]
         step = clause
-        for t in (toxicity.negation(), toxicity.reporting(), toxicity.targeting(), toxicity.threatening()):
-            step = t.run(step)
-        assert machine.run(clause) == step
+        for t in toxicity.FORWARD:
+            step = t().run(step)
+        assert machine[0].run(clause) == step
+        step = step[::-1]
+        for t in toxicity.BACKWARD:
+            step = t().run(step)
+        assert toxicity.matches_of(clause, machine) == [o for o in step[::-1] if isinstance(o, tuple)]
+
+
+def test_toxicity_against_plain_scores(spark):
+    """score is the logistic of the clauses' strongest matches under the learnt weights, text by text."""
+    docs, labels, _ = labelled(spark, 200)
+    kept = {}
+    fit, learnt = toxicity.fit, toxicity.learnt_words
+    patch = pytest.MonkeyPatch()
+    patch.setattr(toxicity, "fit", lambda *a: kept.setdefault("w", fit(*a)))
+    patch.setattr(toxicity, "learnt_words", lambda s: kept.setdefault("words", learnt(s)))
+    try:
+        got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels).collect()}
+    finally:
+        patch.undo()
+    table, machine = toxicity.classes(kept["words"][2]), toxicity.grammar()
+    for r in docs.collect():
+        clauses = [c for c in toxicity._CLAUSE.split((r["text"] or "").lower()) if toxicity._WORD.search(c)]
+        count, kinds = Counter(), Counter()
+        for c in clauses:
+            ms = toxicity.matches_of([table.get(w, "o") for w in toxicity._WORD.findall(c)], machine)
+            if ms:
+                best = max(ms, key=lambda m: (toxicity.EVENT_PRIOR[toxicity.EVENTS.index(m)], -toxicity.EVENTS.index(m)))
+                count[best] += 1
+                kinds[best[0]] += 1 / len(clauses)
+        x = [count[e] for e in toxicity.EVENTS] + [kinds[k] for k in toxicity.KINDS]
+        z = sum(w * np.log1p(v) for w, v in zip(kept["w"], x)) + kept["w"][-1]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_quality_against_plain_dot_products(spark):
+    """score is the logistic of a text's n-gram shares with the learnt weights, n-gram by n-gram."""
+    docs, labels, _ = labelled(spark, 100)
+    kept = {}
+    train = quality_classifier.train
+    patch = pytest.MonkeyPatch()
+    patch.setattr(quality_classifier, "train", lambda *a: kept.setdefault("w", train(*a)))
+    try:
+        got = {r["doc_id"]: r["score"] for r in quality_classifier.score_quality(docs, labels).collect()}
+    finally:
+        patch.undo()
+
+    def mix(*parts):
+        h = 0x51ED27
+        for p in parts:
+            h = (h ^ p) * 0x9E3779B97F4A7C15 % (1 << 64)
+            h ^= h >> 29
+        return h
+
+    for r in docs.collect():
+        ws = [quality_classifier._word(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode())]
+        grams, seen = [], set()
+        for k, (core, shape) in enumerate(ws):
+            grams += [mix(core), mix(shape)]
+            if k:
+                grams += [mix(ws[k - 1][0], core), mix(ws[k - 1][1], shape)] + [11] * (ws[k - 1][0] == core)
+            if k > 1:
+                three = (ws[k - 2][0], ws[k - 1][0], core)
+                grams += [12] * (three in seen)
+                seen.add(three)
+        mask = (1 << quality_classifier.BITS) - 1
+        z = quality_classifier.SCALE / max(1, len(ws)) * sum(kept["w"][(h ^ h >> 32) & mask] for h in grams) + kept["w"][-1]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
