@@ -7,8 +7,8 @@ was named before. Three more read the outcome from right to left: aimed at who i
 named after, reported by a verb at the end of the clause, and threats that are aimed
 at nobody are dropped. The composition of each side is one deterministic transducer,
 so a clause is read once in each direction. A matched clause counts as its strongest
-match. A text's score is logistic in the number of matched clauses of each kind, and
-in their share of all clauses, with weights learnt from labelled rows around stated
+match. A text's score is logistic in the number of matched clauses of each event, and
+in the density of matches of each kind, with weights learnt from labelled rows around stated
 prior weights. Words that hardly any but toxic labelled texts use form a class of
 their own, "learnt"; for the weights, each half of the sample is read with the words
 learnt from the other half, so that they are not trusted more than they deserve.
@@ -220,7 +220,7 @@ def classes(learnt: frozenset[str] = frozenset()) -> dict[str, object]:
 
 
 def clause_counts(texts: list[bytes], table: dict[str, object], machine: tuple[Transducer, Transducer]) -> np.ndarray:
-    """For each text, how many clauses have each event as their strongest match, then the share of clauses of each kind."""
+    """For each text, how many clauses have each event as their strongest match, then the grammar's matches for 100 words of each kind."""
     hot = [w for w, s in table.items() if isinstance(s, tuple)]
     trigger = re.compile("|".join(map(re.escape, sorted({w[:4] for w in hot})))) if hot else None
     index = {e: i for i, e in enumerate(EVENTS)}
@@ -232,12 +232,13 @@ def clause_counts(texts: list[bytes], table: dict[str, object], machine: tuple[T
         total = 0
         for clause in _CLAUSE.split(text):
             symbols = [table.get(w.replace("’", "'"), "o") for w in _WORD.findall(clause)]
-            total += bool(symbols)
+            total += len(symbols)
             if any(isinstance(s, tuple) for s in symbols) and (found := matches_of(symbols, machine)):
                 best = max((index[m] for m in found), key=lambda i: (EVENT_PRIOR[i], -i))
                 out[row, best] += 1
-                out[row, len(EVENTS) + KINDS.index(EVENTS[best][0])] += 1
-        out[row, len(EVENTS) :] /= max(total, 1)
+                for kind, _ in found:
+                    out[row, len(EVENTS) + KINDS.index(kind)] += 1
+        out[row, len(EVENTS) :] *= 100 / max(total, 1)
     return out
 
 

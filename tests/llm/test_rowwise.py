@@ -420,15 +420,16 @@ def test_toxicity_against_plain_scores(spark):
         patch.undo()
     table, machine = toxicity.classes(kept["words"][2]), toxicity.grammar()
     for r in docs.collect():
-        clauses = [c for c in toxicity._CLAUSE.split((r["text"] or "").lower()) if toxicity._WORD.search(c)]
+        clauses = toxicity._CLAUSE.split((r["text"] or "").lower())
+        n_words = sum(len(toxicity._WORD.findall(c)) for c in clauses)
         count, kinds = Counter(), Counter()
         for c in clauses:
             ms = toxicity.matches_of([table.get(w, "o") for w in toxicity._WORD.findall(c)], machine)
             if ms:
                 best = max(ms, key=lambda m: (toxicity.EVENT_PRIOR[toxicity.EVENTS.index(m)], -toxicity.EVENTS.index(m)))
                 count[best] += 1
-                kinds[best[0]] += 1 / len(clauses)
-        x = [count[e] for e in toxicity.EVENTS] + [kinds[k] for k in toxicity.KINDS]
+                kinds.update(m[0] for m in ms)
+        x = [count[e] for e in toxicity.EVENTS] + [100 * kinds[k] / max(1, n_words) for k in toxicity.KINDS]
         z = sum(w * np.log1p(v) for w, v in zip(kept["w"], x)) + kept["w"][-1]
         assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
 
