@@ -39,7 +39,9 @@ def id_hash(doc_id: Column, salt: str) -> Column:
     return F.md5(F.concat(F.lit(salt), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+#: Tables stored so far and not dropped, and the folder of each table given out, by the object's id.
 _made: list[tuple[SparkSession, str]] = []
+_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,20 +76,29 @@ def stored(df: DataFrame) -> DataFrame:
     fs, p = _file_system(spark, path)
     fs.deleteOnExit(p)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    return out
 
 
 @contextlib.contextmanager
-def released() -> Iterator[None]:
-    """Deletes the tables that were stored inside the block, when it ends."""
-    first = len(_made)
+def released() -> Iterator[list[DataFrame]]:
+    """When the block ends, deletes the tables that were stored inside it, but for those put on the list it gives."""
+    first, kept = len(_made), []
     try:
-        yield
+        yield kept
     finally:
-        drop_stored(_made[first:])
+        spared = {_paths[id(df)] for df in kept}
+        _delete([x for x in _made[first:] if x[1] not in spared])
 
 
-def drop_stored(tables: Sequence[tuple[SparkSession, str]]) -> None:
+def drop(table: DataFrame) -> None:
+    """Deletes a stored() table."""
+    path = _paths.pop(id(table))
+    _delete([x for x in _made if x[1] == path])
+
+
+def _delete(tables: Sequence[tuple[SparkSession, str]]) -> None:
     for spark, path in tables:
         fs, p = _file_system(spark, path)
         fs.delete(p, True)

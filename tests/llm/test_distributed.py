@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -171,12 +172,14 @@ def test_row_ids_are_the_same_in_every_reading(spark, tmp_path):
         if table is docs:
             assert a.join(b.select(F.col(common.RID).alias("r")), F.col(common.RID) == F.col("r")).count() == 5000
     made = len(common._made)
-    with common.released():
-        path = common.stored(docs).inputFiles()[0]
-    assert len(common._made) == made
-    import os
-
+    with common.released() as kept:
+        gone, stays = common.stored(docs), common.stored(docs)
+        kept.append(stays)
+        path = gone.inputFiles()[0]
+    assert len(common._made) == made + 1 and stays.count() == 5000
     assert not os.path.exists(path.removeprefix("file://"))
+    common.drop(stays)
+    assert len(common._made) == made
 
 
 def test_running_sums(spark):
