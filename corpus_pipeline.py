@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import documents, stored
+from millrace.llm.common import documents, drop, released, stored
 from millrace.llm.exact_dedup import dedup_stage
 from millrace.llm.mixing import mixing_stage
 from millrace.llm.packing import packing_stage
@@ -25,9 +25,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what each returns is written as Parquet and read by the next."""
-    docs = documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    docs, last = documents(spark, sf_dir), None
+    for _, stage in STAGES[:-1]:
+        # What a stage stores for itself goes with it, and its input once its output is written.
+        with released() as kept:
+            out = stored(stage(spark, docs, sf_dir))
+            kept.append(out)
+        if last is not None:
+            drop(last)
+        docs = last = out
+    return STAGES[-1][1](spark, docs, sf_dir)

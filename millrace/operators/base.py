@@ -81,21 +81,29 @@ class BaseEstimator:
 
 
 def clone(estimator, *, safe: bool = True):
-    """An unfitted copy; containers are cloned item by item."""
-    if hasattr(estimator, "__sklearn_clone__") and not isinstance(estimator, type):
-        return estimator.__sklearn_clone__()
-    if isinstance(estimator, (list, tuple, set, frozenset)):
-        return type(estimator)(clone(e, safe=safe) for e in estimator)
-    if isinstance(estimator, type) or not hasattr(estimator, "get_params"):
+    """An unfitted copy. Containers are copied with their items cloned, dictionaries by value; other things without parameters are copied deeply unless `safe`."""
+    again = lambda item: clone(item, safe=safe)
+    match estimator:
+        case dict():
+            return type(estimator)((k, again(v)) for k, v in estimator.items())
+        case list() | tuple() | set() | frozenset():
+            return type(estimator)(map(again, estimator))
+        case type():
+            own = None
+        case _:
+            if special := getattr(estimator, "__sklearn_clone__", None):
+                return special()
+            own = getattr(estimator, "get_params", None)
+    if own is None:
         if safe:
             raise TypeError(f"cannot clone {estimator!r}: it has no get_params")
         return copy.deepcopy(estimator)
-    params = {k: clone(v, safe=False) for k, v in estimator.get_params(deep=False).items()}
-    new = type(estimator)(**params)
-    for k, v in params.items():
-        if getattr(new, k) is not v:
-            raise RuntimeError(f"the constructor of {type(estimator).__name__} changes its parameter {k!r}")
-    return new
+    given = {name: clone(value, safe=False) for name, value in own(deep=False).items()}
+    made = type(estimator)(**given)
+    changed = [name for name, value in given.items() if getattr(made, name) is not value]
+    if changed:
+        raise RuntimeError(f"the constructor of {type(estimator).__name__} changes its parameter {changed[0]!r}")
+    return made
 
 
 class TransformerMixin:

@@ -105,7 +105,7 @@ def tall_qr(df: DataFrame, names, labels, weight, mean: np.ndarray) -> tuple[np.
 
     schema = ", ".join(f"x{i} double" for i in range(k))
     part = data.mapInArrow(lambda b: reduce_rows(b, True), schema)
-    few = part.coalesce(max(1, min(32, df.rdd.getNumPartitions() // 8))).mapInArrow(lambda b: reduce_rows(b, False), schema)
+    few = part.repartition(32).mapInArrow(lambda b: reduce_rows(b, False), schema)
     rows = np.array([list(r) for r in few.collect()])
     r = np.linalg.qr(rows, mode="r")
     r = np.vstack([r, np.zeros((max(0, k - len(r)), k))])

@@ -494,24 +494,34 @@ def train_test_sequential(spark, d):
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
 
 
-def _permuted(n: int, seed: int) -> str:
-    return ", ".join(f"({i},{p})" for p, i in enumerate(np.random.RandomState(seed).permutation(n).tolist()))
-
-
-#: The driver's comparison runs at 399 labels: the seeded permutation of so many rows, as values.
-@query(f"with p(i, place) as (values {_permuted(399, 42)}), n as (select doc_id, row_number() over (order by doc_id) - 1 i from labels) select doc_id, place < 100 is_test from n join p using (i)")
+@query("with n as (select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) - 1 i, count(*) over () n from labels) select doc_id, i < ceil(n*0.25) is_test from n")
 def train_test_shuffled(spark, d):
     train, test = split.train_test_split(read_table(spark, d, "labels").select("doc_id"), "doc_id", random_state=42)
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
 
 
-@query()
+#: Parts of each class by largest remainders: t of the train side, u of the test side.
+SHARES = (
+    "k as (select toxic, count(*) c from labels group by toxic), n as (select sum(c)::bigint n, ceil(sum(c)*0.3)::bigint test from k),"
+    " a as (select toxic, c, n, test, c*(n-test)//n q, row_number() over (order by c*(n-test)%n desc, md5('7:' || toxic)) r, sum(c*(n-test)//n) over () s from k cross join n),"
+    " t as (select *, q + (r <= n-test-s)::bigint t from a),"
+    " b as (select *, (c-t)*test//test q2, row_number() over (order by (c-t)*test%test desc, md5('7:' || toxic)) r2, sum((c-t)*test//test) over () s2 from t),"
+    " u as (select *, q2 + (r2 <= test-s2)::bigint u from b)"
+)
+
+
+@query(f"with {SHARES}, l as (select *, row_number() over (partition by toxic order by md5('7:' || doc_id), doc_id) - 1 i from labels) select doc_id, quality, l.toxic, i < u is_test from l join u on l.toxic = u.toxic")
 def train_test_stratified(spark, d):
     df = read_table(spark, d, "labels")
     train, test = split.train_test_split(df, "doc_id", test_size=0.3, random_state=7, stratify="toxic")
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
 
 
+@query("with n as (select o_orderkey, row_number() over (order by md5('3:' || o_orderkey), o_orderkey) - 1 i, count(*) over () n from orders) select o_orderkey, (case when i < (n%7)*(n//7+1) then i//(n//7+1) else n%7 + (i-(n%7)*(n//7+1))//(n//7) end)::int fold from n")
+def kfold_shuffled(spark, d):
+    return split.KFold(7, shuffle=True, random_state=3).assign(read_table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
 # Linear models
 
 
@@ -558,33 +568,62 @@ def elastic_net_1d(spark, d):
     return one_row(spark, coef=round(float(m.coef_[0]), 4))
 
 
-def _features_of_docs(spark, d) -> DataFrame:
-    docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
-    text = F.col("text")
-    cols = [F.log1p(F.length(text).cast("double")).alias("size"), (F.regexp_count(text, F.lit("[#*$%&|<>]")) / (F.length(text) + 1)).alias("marks"), (F.regexp_count(text, F.lit("[A-Z]")) / (F.length(text) + 1)).alias("capitals")]
-    return labels.join(docs.select("doc_id", *cols), "doc_id").select("doc_id", "quality", "size", "marks", "capitals")
+# With one yes-or-no feature and no penalty, the fitted probabilities are the shares of the classes on either side.
+
+
+def _long_or_short(spark, d) -> DataFrame:
+    docs = read_table(spark, d, "documents").select("doc_id", "lang", (F.length("text") > 1000).cast("double").alias("long"))
+    return docs.join(read_table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
 
 
-@query()
+LONG = "s as (select d.doc_id, d.lang, l.quality, length(d.text) > 1000 long from documents d left join labels l using (doc_id))"
+
+
+@query(f"with {LONG} select doc_id, round(avg(quality) over (partition by long), 3) probability_1 from s where quality is not null")
 def logistic_predict(spark, d):
-    df = _features_of_docs(spark, d)
-    model = make_pipeline(StandardScaler(), LogisticRegression()).fit(df, features=["size", "marks", "capitals"], label="quality")
-    return model.predict_proba(df, keep=["doc_id"]).select("doc_id", r6("probability_1").alias("probability_1"))
+    df = _long_or_short(spark, d).filter("quality is not null")
+    model = make_pipeline(StandardScaler(), LogisticRegression(penalty=None, tol=1e-10, max_iter=300)).fit(df, features=["long"], label="quality")
+    return model.predict_proba(df, keep=["doc_id"]).select("doc_id", F.round("probability_1", 3).alias("probability_1"))
+
 
+LANGS = ["de", "en", "es", "fr"]
 
-@query()
+
+@query(f"with {LONG} select doc_id, " + ", ".join(f"round(avg((lang = '{v}')::int) over (partition by long), 3) probability_{v}" for v in LANGS) + " from s")
+def logistic_multiclass(spark, d):
+    df = _long_or_short(spark, d).select("doc_id", "lang", "long")
+    model = LogisticRegression(penalty=None, tol=1e-8, max_iter=500).fit(df, features=["long"], label="lang")
+    named = model.predict_proba(df, keep=["doc_id"]).toDF("doc_id", *[f"probability_{v}" for v in LANGS])
+    return named.select("doc_id", *[F.round(f"probability_{v}", 3).alias(f"probability_{v}") for v in LANGS])
+
+
+#: Stratified folds of the labelled documents, as in stratified_kfold.
+FOLDS3 = (
+    "y as (select doc_id, long, quality from s where quality is not null), k as (select *, row_number() over (partition by quality order by doc_id) - 1 j from y),"
+    " st as (select quality, sum(c) over (order by quality) - c a, c from (select quality, count(*) c from y group by quality)),"
+    " q as (select quality, f, (select count(*) from range(a::bigint, (a + c)::bigint) t(x) where x % 3 = f) q from st cross join range(3) g(f)),"
+    " e as (select quality, f, sum(q) over (partition by quality order by f) e from q),"
+    " z as (select long, quality, (select count(*) from e where e.quality = k.quality and e.e <= k.j) fold from k)"
+)
+
+
+@query(
+    f"with {LONG}, {FOLDS3}, m as (select g.f, z.long, (avg(quality) >= 0.5)::int p from z join range(3) g(f) on z.fold <> g.f group by all)"
+    " select fold::int fold, round(avg((p = quality)::int), 6) score from z join m on m.f = z.fold and m.long = z.long group by fold"
+)
 def cross_validation(spark, d):
-    df = _features_of_docs(spark, d)
-    scores = cross_val_score(make_pipeline(StandardScaler(), LogisticRegression()), df, ["size", "marks", "capitals"], "quality", order_by="doc_id", cv=3)
+    df = _long_or_short(spark, d).filter("quality is not null")
+    model = make_pipeline(StandardScaler(), LogisticRegression(penalty=None, tol=1e-10, max_iter=300))
+    scores = cross_val_score(model, df, ["long"], "quality", order_by="doc_id", cv=3)
     return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(scores)], "fold int, score double")
 
 
-# Neighbours: vectors with vec_id % 5 = 0 ask, the others answer.
+# Neighbours: the stated query set, vectors with vec_id % 20 = 0, asks all vectors, itself included.
 
 
 def _knn_sql(metric: str) -> str:
     dist = {"l2": "list_distance(q.e, t.e)", "l1": "list_sum(list_transform(list_zip(q.e, t.e), lambda z: abs(z[1] - z[2])))"}[metric]
-    return f"(select *, row_number() over (partition by query order by distance, neighbor) rk from (select q.vec_id query, t.vec_id neighbor, t.label, {dist} distance from v q join v t on q.vec_id % 5 = 0 and t.vec_id % 5 <> 0))"
+    return f"(select *, row_number() over (partition by query order by distance, neighbor) rk from (select q.vec_id query, t.vec_id neighbor, t.label, {dist} distance from v q join v t on q.vec_id % 20 = 0))"
 
 
 V = "v as (select vec_id, label, embedding::DOUBLE[] e from embeddings)"
@@ -592,7 +631,7 @@ V = "v as (select vec_id, label, embedding::DOUBLE[] e from embeddings)"
 
 def _sides(spark, d):
     df = read_table(spark, d, "embeddings")
-    return df.filter("vec_id % 5 <> 0"), df.filter("vec_id % 5 = 0")
+    return df, df.filter("vec_id % 20 = 0")
 
 
 @query(f"with {V} select query, rk::int rank, neighbor, round(distance, 6) distance from {_knn_sql('l2')} where rk <= 5")
@@ -613,12 +652,18 @@ def knn_classify(spark, d):
     return KNeighborsClassifier().fit(train, ["embedding"], "label", "vec_id").predict(ask, keep=["vec_id"])
 
 
-@query(f"with {V}, b as (select query, label, sum(1/distance) n from {_knn_sql('l2')} where rk <= 5 group by all) select query vec_id, arg_min(label, row(-n, label))::int prediction from b group by query")
+@query(f"with {V}, b as (select query, label, sum(case when exact then (distance = 0)::int else 1/distance end) n from (select *, min(distance) over (partition by query) = 0 exact from {_knn_sql('l2')} where rk <= 5) group by all) select query vec_id, arg_min(label, row(-n, label))::int prediction from b group by query")
 def knn_classify_distance(spark, d):
     train, ask = _sides(spark, d)
     return KNeighborsClassifier(weights="distance").fit(train, ["embedding"], "label", "vec_id").predict(ask, keep=["vec_id"])
 
 
+@query(f"with {V}, b as (select * from {_knn_sql('l2')} where rk <= 5) select query vec_id, " + ", ".join(f"avg((label = {i})::int) probability_{i}" for i in range(10)) + " from b group by query")
+def knn_predict_proba(spark, d):
+    train, ask = _sides(spark, d)
+    return KNeighborsClassifier().fit(train, ["embedding"], "label", "vec_id").predict_proba(ask, keep=["vec_id"])
+
+
 @query(f"with {V} select query vec_id, round(avg(label), 6) prediction from {_knn_sql('l2')} where rk <= 7 group by query")
 def knn_regress(spark, d):
     train, ask = _sides(spark, d)

@@ -1,7 +1,10 @@
+import hashlib
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.operators import metrics as M
 from millrace.operators.base import ConvergenceWarning, FitFailedWarning, clone
@@ -9,7 +12,7 @@ from millrace.operators.compose import make_pipeline
 from millrace.operators.linear import ElasticNet, Lasso, LinearRegression, LogisticRegression, Ridge
 from millrace.operators.neighbors import KNeighborsClassifier, KNeighborsRegressor
 from millrace.operators.scale import StandardScaler
-from millrace.operators.split import KFold, StratifiedKFold, sizes, train_test_split, with_position
+from millrace.operators.split import KFold, StratifiedKFold, class_shares, sizes, train_test_split, with_position
 from millrace.operators.validate import cross_val_score
 
 
@@ -77,19 +80,37 @@ def test_positions_over_several_ranges(spark, monkeypatch):
     from millrace.operators import split
 
     monkeypatch.setattr(split, "RANGE_ROWS", 50)
+    monkeypatch.setattr(split, "GROUP", 4)
     df = spark.createDataFrame([((i * 7919) % 1000,) for i in range(1000)], "id long").repartition(5)
     assert all(r["id"] == r["__position"] for r in with_position(df, "id").collect())
 
 
+def test_positions_within_classes_over_several_ranges(spark, monkeypatch):
+    from millrace.operators import split
+
+    monkeypatch.setattr(split, "RANGE_ROWS", 50)
+    df = spark.createDataFrame([((i * 7919) % 1000, None if i % 9 == 0 else i % 3) for i in range(1000)], "id long, y long").repartition(5)
+    df = df.withColumn("y", F.coalesce("y", F.lit(9)))
+    got = with_position(df, "id", within="y").collect()
+    for y in {r["y"] for r in got}:
+        assert [r["__position"] for r in sorted((r for r in got if r["y"] == y), key=lambda r: r["id"])] == list(range(sum(r["y"] == y for r in got)))
+    assert len(got) == 1000
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(i, i // 6) for i in range(12)], "id long, y long")
     got = sorted((r["id"], r["fold"]) for r in KFold(5).assign(df, "id").collect())
     assert [f for _, f in got] == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3, 4, 4]
     folded = StratifiedKFold(3).assign(df, "id", "y").collect()
     assert all(sum(r["fold"] == f and r["y"] == y for r in folded) == 2 for f in range(3) for y in range(2))
-    order = np.random.RandomState(3).permutation(12)
-    want = {int(i): f for f, part in enumerate(np.array_split(order, 5)) for i in part}
+    digest = lambda seed, i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest()
+    order = sorted(range(12), key=lambda i: digest(3, i))
+    want = {i: f for f, part in enumerate(np.array_split(order, 5)) for i in part.tolist()}
     assert {r["id"]: r["fold"] for r in KFold(5, shuffle=True, random_state=3).assign(df, "id").collect()} == want
+    mixed = StratifiedKFold(3, shuffle=True, random_state=3).assign(df, "id", "y").collect()
+    for y in range(2):
+        got = [r["fold"] for r in sorted(mixed, key=lambda r: digest(3, r["id"])) if r["y"] == y]
+        assert got == [0, 0, 1, 1, 2, 2]
     with pytest.raises(ValueError, match="no effect"):
         KFold(3, random_state=1)
     with pytest.raises(ValueError, match="greater"):
@@ -105,11 +126,18 @@ def test_train_test_split(spark):
     train, test = train_test_split(df, "id", shuffle=False)
     assert sorted(r["id"] for r in test.collect()) == [9, 10, 11] and train.count() == 9
     train, test = train_test_split(df, "id", test_size=5, random_state=42)
-    assert {r["id"] for r in test.collect()} == set(np.random.RandomState(42).permutation(12)[:5].tolist())
+    assert {r["id"] for r in test.collect()} == set(sorted(range(12), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())[:5])
+    assert {r["id"] for r in test.collect()} | {r["id"] for r in train.collect()} == set(range(12))
     train, test = train_test_split(df, "id", test_size=0.5, random_state=0, stratify="y")
     assert [test.filter(f"y = {k}").count() for k in range(3)] == [2, 2, 2] and train.count() == 6
-    train, test = train_test_split(df, "id", test_size=4, random_state=1, scalable=True)
-    assert test.count() == 4 and train.count() == 8
+    train, test = train_test_split(df, "id", test_size=4, train_size=5, random_state=1)
+    assert test.count() == 4 and train.count() == 5 and not train.join(test, "id").count()
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        counts = rng.integers(2, 40, 5).tolist()
+        take = int(rng.integers(1, sum(counts)))
+        got = class_shares(counts, take, list("abcde"))
+        assert sum(got) == take and all(abs(g - n * take / sum(counts)) < 1 for g, n in zip(got, counts, strict=True))
     assert sizes(10, 0.25) == (7, 3) and sizes(10, None, 0.5) == (5, 5)
 
 
@@ -284,3 +312,25 @@ def test_streaming_partial_fit(spark, tmp_path):
         assert read(spark, str(tmp_path / fmt), fmt, "id long, v double").count() == 60
     with pytest.raises(ValueError, match="schema"):
         read(spark, "x", "csv")
+
+
+def test_streaming_state_outlives_the_driver(spark, tmp_path):
+    from millrace.streaming.partial import PartialFit
+
+    rows = [spark.createDataFrame([(float(v),) for v in vs], "v double") for vs in ((1, 2), (4, 8), (16,))]
+    first = PartialFit(StandardScaler(), ["v"], state=str(tmp_path / "state"))
+    first(rows[0], 0)
+    first(rows[1], 1)
+    again = PartialFit(StandardScaler(), ["v"], state=str(tmp_path / "state"))
+    again(rows[1], 1)  # replayed after the restart
+    again(rows[2], 2)
+    assert again.estimator.mean_[0] == pytest.approx(31 / 5) and again.estimator.n_samples_seen_ == 5
+
+
+def test_clone_of_containers():
+    lasso = Lasso(alpha=2.0)
+    got = clone({"a": lasso, "b": [lasso, (lasso,)]})
+    assert got["a"] is not lasso and got["a"].alpha == 2.0 and got["b"][1][0].alpha == 2.0 and got["b"][0] is not lasso
+    with pytest.raises(TypeError):
+        clone({"a": 1})
+    assert clone({"a": [1, 2]}, safe=False) == {"a": [1, 2]}
