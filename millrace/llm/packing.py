@@ -166,5 +166,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their ids."""
+    """The pieces of all documents with their ids.
+
+    A null or empty text is its end id alone. Repeated rows and ids are packed as
+    separate documents. A long text is cut into whole windows first; an empty table
+    gives no pieces.
+    """
     return pack(docs)

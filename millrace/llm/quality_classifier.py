@@ -154,8 +154,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """doc_id, held_out, score and predicted for every row of docs.
 
     Only labelled rows outside the held-out fold are learnt from. Null and empty texts
-    get the score of the bias; so does every text if there is no labelled row. Rows
-    that repeat a doc_id are scored one by one. Other columns are not read.
+    get the score of the bias; so does every text if there is no labelled row. A text
+    of any length is read whole. Rows that repeat a doc_id are scored one by one, and
+    equal texts get equal scores; of contradicting labels of one doc_id the larger
+    holds. Other columns are not read.
     """
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(train(labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, sample, "quality-")))

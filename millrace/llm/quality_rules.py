@@ -173,5 +173,10 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, most_covered: i
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that the rules keep, with their own columns."""
+    """The rows of docs that the rules keep, with their own columns.
+
+    Null and empty texts go. Rows are judged one by one, so equal texts, repeated and
+    null ids get the same answer. A text of any length is judged whole, in one task; an
+    empty table gives none.
+    """
     return quality_rules(docs).filter("__mr_rules.kept").drop("__mr_rules")
