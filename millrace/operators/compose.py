@@ -315,6 +315,28 @@ class ColumnTransformer(_Named):
     def fit_transform(self, df, features=None):
         return self.fit(df).transform(df)
 
+    def sparse_output(self, df: DataFrame) -> bool:
+        """Whether df's output is better held as coordinates: a branch is sparse, and the share of values other than zero is under sparse_threshold.
+
+        One aggregate over the output. An empty output is not sparse; NULL counts as a value.
+        """
+        check_is_fitted(self, "transformers_")
+        if not any(getattr(t, "sparse_output", False) for _, t, _ in self._branches):
+            return False
+        names = self.get_feature_names_out()
+        filled = [F.count_if(F.coalesce(c(n).cast("double") != 0, F.lit(True))) for n in names]
+        found = self.transform(df).agg(F.count(F.lit(1)), *filled).first()
+        total = found[0] * len(names)
+        return total > 0 and sum(found[1:]) / total < self.sparse_threshold
+
+    def to_coo(self, df: DataFrame, row: str) -> DataFrame:
+        """(row, col, value) for all output values other than zero; `row` is one of the `keep` columns, col a place among the output names."""
+        if row not in self.keep:
+            raise ValueError(f"{row!r} is not among the kept columns")
+        cells = [F.struct(F.lit(i).cast("long").alias("col"), c(n).cast("double").alias("value")) for i, n in enumerate(self.get_feature_names_out())]
+        some = F.filter(F.array(*cells), lambda x: F.coalesce(x["value"] != 0, F.lit(True)))
+        return self.transform(df).select(c(row).alias("row"), F.explode(some).alias("x")).select("row", "x.col", "x.value")
+
 
 def make_column_transformer(*pairs, **options) -> ColumnTransformer:
     names = _auto_names([t for t, _ in pairs])

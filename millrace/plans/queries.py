@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, sparse, split
-from ..operators.compose import ColumnTransformer, make_pipeline
+from ..operators.compose import ColumnTransformer, make_column_transformer, make_pipeline
 from ..operators.encode import LabelEncoder, OneHotEncoder, OrdinalEncoder, discover, encode_categories
 from ..operators.impute import SimpleImputer
 from ..operators.linear import ElasticNet, Lasso, LinearRegression, LogisticRegression, Ridge
@@ -112,13 +112,13 @@ def minmax_transform(spark, d):
 
 
 @query(
-    "with s as (select min(o_totalprice) lo, max(o_totalprice) hi from orders where o_orderkey % 2 = 0)"
+    "with s as (select min(o_totalprice) lo, max(o_totalprice) hi from orders where o_orderstatus = 'F')"
     " select o_orderkey, round(least(greatest((o_totalprice-lo)/(hi-lo), 0), 1), 6) o_totalprice from orders cross join s"
 )
 def minmax_clip(spark, d):
-    df = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    s = MinMaxScaler(clip=True).fit(df.filter(F.col("o_orderkey") % 2 == 0), ["o_totalprice"])
-    return rounded(s.transform(df), ["o_totalprice"])
+    df = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    s = MinMaxScaler(clip=True).fit(df.filter("o_orderstatus = 'F'"), ["o_totalprice"])
+    return rounded(s.transform(df.drop("o_orderstatus")), ["o_totalprice"])
 
 
 @query("select min(o_totalprice) data_min, max(o_totalprice) data_max, count(*) n from orders")
@@ -176,6 +176,15 @@ def robust_unit_variance(spark, d):
     return rounded(RobustScaler(unit_variance=True).fit(df, ["l_quantity"]).transform(df), ["l_quantity"])
 
 
+@query("select min(l_tax) low, max(l_tax) - min(l_tax) whole_width, quantile_cont(l_tax, 0.5) center, 1.0::DOUBLE no_width from lineitem")
+def robust_edges(spark, d):
+    df = read_table(spark, d, "lineitem").select("l_tax")
+    whole = RobustScaler(quantile_range=(0.0, 100.0)).fit(df, ["l_tax"])
+    none = RobustScaler(quantile_range=(50.0, 50.0)).fit(df, ["l_tax"])
+    low = MinMaxScaler().fit(df, ["l_tax"]).data_min_[0]
+    return one_row(spark, low=float(low), whole_width=float(whole.scale_[0]), center=float(none.center_[0]), no_width=float(none.scale_[0]))
+
+
 def _norm(norm: str):
     def run(spark, d):
         df, x = read_table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]
@@ -250,6 +259,30 @@ def imputer_callable(spark, d):
     return SimpleImputer(strategy=F.max).fit(df, ["v"]).transform(df)
 
 
+@query(f"with g as {GAPS}, s as (select avg(v) m from g) select event_id, round(coalesce(v, m), 6) v, 0.0::DOUBLE none from g cross join s")
+def imputer_empty_kept(spark, d):
+    df = _gaps(spark, d).select("event_id", "v", F.lit(None).cast("double").alias("none"))
+    return rounded(SimpleImputer(keep_empty_features=True).fit(df, ["v", "none"]).transform(df), ["v"])
+
+
+@query(f"with g as {GAPS}, s as (select quantile_cont(v, 0.5) m from g) select event_id, round(coalesce(v, m), 6) v from g cross join s")
+def imputer_empty_dropped(spark, d):
+    df = _gaps(spark, d).select("event_id", "v", F.lit(None).cast("double").alias("none"))
+    return rounded(SimpleImputer(strategy="median").fit(df, ["v", "none"]).transform(df), ["v"])
+
+
+@query(f"with g as {GAPS}, s as (select avg(v) m from g) select event_id, round(coalesce(v, m), 6) v, (v is null)::int::double missingindicator_v from g cross join s")
+def imputer_sentinel(spark, d):
+    df = _gaps(spark, d).select("event_id", F.coalesce("v", F.lit(-1.0)).alias("v"))
+    return rounded(SimpleImputer(missing_values=-1, add_indicator=True).fit(df, ["v"]).transform(df), ["v"])
+
+
+@query(f"with g as {GAPS}, s as (select max(v) m from g) select event_id, coalesce(v::float, m::float) v from g cross join s")
+def imputer_float(spark, d):
+    df = _gaps(spark, d).select("event_id", F.col("v").cast("float").alias("v"))
+    return SimpleImputer(strategy=F.max).fit(df, ["v"]).transform(df)
+
+
 # Encoders
 
 
@@ -272,10 +305,10 @@ def category_discovery(spark, d):
     return spark.createDataFrame([(f.name, str(v), k) for f in found for v, k in zip(f.values, f.counts, strict=True)], "feature string, category string, n long")
 
 
-@query("select p_partkey, (case when b is null then -1 else b end)::bigint p_brand from (select p_partkey, p_brand from part) p left join (select p_brand x, dense_rank() over (order by p_brand) - 1 b from (select distinct p_brand from part where p_partkey % 50 = 1)) k on p_brand = x")
+@query("select p_partkey, (case when b is null then -1 else b end)::bigint p_brand from (select p_partkey, p_brand from part) p left join (select p_brand x, dense_rank() over (order by p_brand) - 1 b from (select distinct p_brand from part where p_brand < 'Brand#3')) k on p_brand = x")
 def category_lookup(spark, d):
     df = read_table(spark, d, "part").select("p_partkey", "p_brand")
-    return encode_categories(df, discover(df.filter(F.col("p_partkey") % 50 == 1), ["p_brand"]))
+    return encode_categories(df, discover(df.filter("p_brand < 'Brand#3'"), ["p_brand"]))
 
 
 @query("select p_partkey, (dense_rank() over (order by p_type) - 1)::double p_type, (dense_rank() over (order by p_brand) - 1)::double p_brand from part")
@@ -307,6 +340,18 @@ def ordinal_inverse(spark, d):
     return e.inverse_transform(e.transform(df))
 
 
+@query("select o_orderkey, (case o_orderstatus when 'P' then 0 when 'O' then 1 else 2 end)::double o_orderstatus from orders")
+def ordinal_stated(spark, d):
+    df = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return OrdinalEncoder(categories=[["P", "O", "F"]]).fit(df, ["o_orderstatus"]).transform(df)
+
+
+@query(f"with g as {GAPS}, f as (select k, row_number() over (order by k) - 1 code from (select distinct k from g where k is not null)) select event_id, coalesce(code, -2)::int k from g left join f using (k)")
+def ordinal_missing(spark, d):
+    df = _gaps(spark, d).select("event_id", "k")
+    return OrdinalEncoder(dtype="int", encoded_missing_value=-2).fit(df, ["k"]).transform(df)
+
+
 def _cases(column: str, values: list[str], skip: str = "") -> str:
     return ", ".join(f"""({column} = '{v}')::int::double "{column}_{v}\"""" for v in values if v != skip)
 
@@ -341,6 +386,24 @@ def onehot_infrequent_coo(spark, d):
     return OneHotEncoder(max_categories=5).fit(df, ["p_brand"]).to_coo(df, "p_partkey")
 
 
+@query(f"select {LINE_SQL}, {_cases('l_linestatus', ['F', 'O'], 'F')}, {_cases('l_returnflag', ['A', 'N', 'R'])} from lineitem")
+def onehot_drop_binary(spark, d):
+    df = _line(spark, d, "l_linestatus", "l_returnflag")
+    return OneHotEncoder(drop="if_binary").fit(df, ["l_linestatus", "l_returnflag"]).transform(df)
+
+
+@query(f"select {LINE_SQL}, {_cases('l_linestatus', ['F', 'O'], 'O')}, {_cases('l_returnflag', ['A', 'N', 'R'], 'N')} from lineitem")
+def onehot_drop_each(spark, d):
+    df = _line(spark, d, "l_linestatus", "l_returnflag")
+    return OneHotEncoder(drop=["O", "N"]).fit(df, ["l_linestatus", "l_returnflag"]).transform(df)
+
+
+@query(f"select o_orderkey, {_cases('o_orderstatus', ['P', 'O', 'F', 'X'])} from orders")
+def onehot_stated(spark, d):
+    df = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return OneHotEncoder(categories=[["P", "O", "F", "X"]]).fit(df, ["o_orderstatus"]).transform(df)
+
+
 @query("select o_orderkey, o_orderstatus from orders")
 def onehot_inverse(spark, d):
     df = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
@@ -468,6 +531,17 @@ def r2(spark, d):
     return rounded(row, row.columns)
 
 
+@query(f"select round(avg(abs(y0-p0)), 4) mae0, round(avg(abs(y1-p1)), 6) mae1, round(0.25*avg(abs(y0-p0)) + 0.75*avg(abs(y1-p1)), 4) mae_weighted, round(sqrt(avg((y1-p1)*(y1-p1))), 6) rmse1 from {PRED}")
+def multioutput(spark, d):
+    df, both = _pred(spark, d), (["y0", "y1"], ["p0", "p1"])
+    raw = metrics.mean_absolute_error(df, *both, multioutput="raw_values")
+    row = one_row(
+        spark, mae0=float(raw[0]), mae1=float(raw[1]), mae_weighted=float(metrics.mean_absolute_error(df, *both, multioutput=[0.25, 0.75])),
+        rmse1=float(metrics.mean_squared_error(df, *both, multioutput="raw_values")[1]) ** 0.5,
+    )
+    return row.select(F.round("mae0", 4).alias("mae0"), r6("mae1").alias("mae1"), F.round("mae_weighted", 4).alias("mae_weighted"), r6("rmse1").alias("rmse1"))
+
+
 # Splits
 
 
@@ -618,6 +692,25 @@ def cross_validation(spark, d):
     return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(scores)], "fold int, score double")
 
 
+#: Regression of the retail price on the size, trained on two folds of three and judged on the third.
+FOLD_LINES = (
+    "n as (select p_size x, p_retailprice y, row_number() over (order by p_partkey) - 1 i, count(*) over () n from part),"
+    " z as (select x, y, (case when i < (n%3)*(n//3+1) then i//(n//3+1) else n%3 + (i-(n%3)*(n//3+1))//(n//3) end)::int fold from n),"
+    " m as (select f::int f, regr_slope(y, x) a, regr_intercept(y, x) b from z join range(3) g(f) on z.fold <> g.f group by f)"
+)
+
+
+@query(
+    f"with {FOLD_LINES} select fold, round(-avg((y-a*x-b)*(y-a*x-b)), 4) squared, round(-avg(abs(y-a*x-b)), 4) absolute,"
+    " round(1 - sum((y-a*x-b)*(y-a*x-b))/(count(y)*var_pop(y)), 6) r2 from z join m on f = fold group by fold"
+)
+def scorers(spark, d):
+    df = read_table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    by = [cross_val_score(LinearRegression(), df, ["p_size"], "p_retailprice", order_by="p_partkey", cv=3, scoring=s) for s in ("neg_mean_squared_error", "neg_mean_absolute_error", None)]
+    rows = [(i, round(float(a), 4), round(float(b), 4), round(float(r), 6)) for i, (a, b, r) in enumerate(zip(*by, strict=True))]
+    return spark.createDataFrame(rows, "fold int, squared double, absolute double, r2 double")
+
+
 # Neighbours: the stated query set, vectors with vec_id % 20 = 0, asks all vectors, itself included.
 
 
@@ -688,3 +781,36 @@ def column_transformer_mixed(spark, d):
     df = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     t = ColumnTransformer([("num", StandardScaler(), ["o_totalprice"]), ("cat", OneHotEncoder(), ["o_orderstatus"])], keep=["o_orderkey"])
     return rounded(t.fit(df).transform(df), ["num__o_totalprice"])
+
+
+@query(
+    "with s as (select min(p_size) a, max(p_size) b, max(abs(p_retailprice)) m, avg(p_size) u, stddev_pop(p_size) w from part)"
+    ' select p_partkey, round((p_size-a)/(b-a), 6) "size_of_minmaxscaler", round(p_retailprice/m, 6) "price_of_maxabsscaler", round(p_size/w - u/w, 6) "size_of_standardscaler", p_brand "brand_of_remainder" from part cross join s'
+)
+def column_transformer_selectors(spark, d):
+    """Branches chosen by place, by a mask, by a callable; one column in two branches; own output names; the rest passes."""
+    df = read_table(spark, d, "part").select("p_partkey", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"), F.col("p_brand").alias("brand"))
+    t = make_column_transformer(
+        (MinMaxScaler(), 0), (MaxAbsScaler(), [False, True, False]), (StandardScaler(), lambda x: [n for n in x.columns if n.endswith("ize")]),
+        remainder="passthrough", keep=["p_partkey"], verbose_feature_names_out=lambda branch, name: f"{name}_of_{branch}",
+    )
+    out = t.fit(df).transform(df)
+    return rounded(out, out.columns[1:4])
+
+
+@query("select unnest(range(5)) place, unnest(['num__l_quantity', 'num__l_extendedprice', 'cat__l_returnflag_A', 'cat__l_returnflag_N', 'cat__l_returnflag_R']) as name")
+def feature_names(spark, d):
+    df = read_table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag")
+    t = ColumnTransformer([("num", make_pipeline(SimpleImputer(), StandardScaler()), slice("l_quantity", "l_extendedprice")), ("cat", OneHotEncoder(), [-1])])
+    names = t.fit(df).get_feature_names_out()
+    return spark.createDataFrame(list(enumerate(names)), "place long, name string")
+
+
+@query(
+    "with s as (select max(abs(o_totalprice)) m from orders) select o_orderkey as row, 0::bigint col, round(o_totalprice/m, 6) as value from orders cross join s"
+    " union all select o_orderkey, 1 + (case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end), 1.0 from orders"
+)
+def column_transformer_coo(spark, d):
+    df = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    t = ColumnTransformer([("num", MaxAbsScaler(), ["o_totalprice"]), ("cat", OneHotEncoder(), ["o_orderstatus"])], keep=["o_orderkey"])
+    return rounded(t.fit(df).to_coo(df, "o_orderkey"), ["value"])
