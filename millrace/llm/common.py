@@ -65,17 +65,27 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
+
+
+def owned(spark: SparkSession, path: str) -> None:
+    """Has a written shared_path() deleted when the JVM ends, or by released()."""
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    _made.append((spark, path))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a table written once in the shared folder: its lineage is cut and lost executors cost nothing.
 
     The JVM deletes it when it ends, after spark.stop() too; released() does so earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
-    fs, p = _file_system(spark, path)
-    fs.deleteOnExit(p)
-    _made.append((spark, path))
+    owned(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, lm_score, mixing, packing, pii, quality_classifier, quality_rules, sharding, simhash, toxicity
-from .common import documents
+from .common import documents, text_or_empty
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.reshard(documents(spark, sf_dir)).select(
-        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    laid = sharding.resharded(documents(spark, sf_dir))
+    text = text_or_empty()
+    return laid.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"),
+        F.col("__mr_shard").alias("shard"),
+        F.col("__mr_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        sharding.old_shard_of(F.col("source")).alias("old_shard"),
     )
 
 

@@ -353,6 +353,64 @@ def test_sharding(corpus, empty, tmp_path):
     assert least - 36 * limit <= sum(r["size"] for r in small if r["shard"] != r["old_shard"]) <= least + 36 * limit
 
 
+def test_large_documents_go_through_the_flow(spark):
+    """A large document goes where there is room for it, and drives no other shard's documents out."""
+    rows = [(i, "x" * 9_992, 0) for i in range(30)]  # 300,000 bytes, 10,000 each
+    rows += [(100 + i, "y" * 92, 1) for i in range(1_000)]  # 100,000 bytes: as many as a shard takes
+    rows += [(2_000 + i, "z" * 92, 2) for i in range(500)]
+    rows += [(3_000 + i, "z" * 92, 4) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    got = sharding.reshard(df, old=F.col("old"), shards=5).collect()
+    sizes, moved = Counter(), Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        moved[r["old_shard"]] += r["size"] * (r["shard"] != r["old_shard"])
+    assert dict(sizes) == dict.fromkeys(range(5), 100_000)
+    assert moved == {0: 200_000, 1: 0, 2: 0, 4: 0}
+    # The ones that the flow would split, and two above the level from one old shard.
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(2, 7))
+        large = sorted(((int(s), int(o)) for s, o in zip(rng.integers(1, 60, 25), rng.integers(0, n, 25), strict=True)), reverse=True)
+        small = rng.integers(0, 90, n).tolist()
+        where, load = sharding.place_large(large, small, n)
+        assert load == [sum(s for (s, _), j in zip(large, where, strict=True) if j == k) for k in range(n)]
+        room = sharding.capacities(sum(small), load, n)
+        final = [a + b for a, b in zip(load, room, strict=True)]
+        assert max(final) - (sum(final) / n) <= max(s for s, _ in large)
+    assert sharding.place_large([(90, 0), (80, 0)], [0, 30, 0], 3) == ([0, 2], [90, 0, 80])
+
+
+def test_resharded_is_read_from_its_new_files(spark, corpus, monkeypatch):
+    """Every row once, with the shard and slot of the plan, and the text that stands in the written files."""
+    from millrace.llm.common import identified
+
+    _, df = corpus
+    docs = identified(df)
+    written = []
+    write = sharding._write
+    monkeypatch.setattr(sharding, "_write", lambda out, order, path, column: (write(out, order, path, column), written.append(path)))
+    want = Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.reshard(docs, shards=6).collect())
+    crc = lambda t: zlib.crc32((t or "").encode())
+    key = lambda r, s, at: (r["doc_id"], len((r["text"] or "").encode()) + 8, crc(r["text"]), r[s], at)
+    laid = sharding.resharded(docs, shards=6)
+    assert set(laid.columns) == {*df.columns, "__mr_shard", "__mr_slot"}
+    assert Counter(key(r, "__mr_shard", r["__mr_slot"]) for r in laid.collect()) == want
+    files = {f for f in laid.inputFiles() if written[0] in f}
+    assert files and spark.read.parquet(written[0]).count() == sum(want.values())
+    # Shards that stay as they are, are not written.
+    level = spark.createDataFrame([(i, "x" * 92, i % 3 if i < 300 else 3 + i % 2) for i in range(500)], "doc_id long, text string, old int")
+    level = level.withColumn("old", F.expr("if(doc_id < 50, 1, old)"))
+    some = sharding.resharded(level, F.col("old"), 5)
+    new = spark.read.parquet(written[1])
+    assert {r[0] for r in new.select("__mr_shard").distinct().collect()} == {0, 1, 2}
+    slots = defaultdict(list)
+    for r in some.collect():
+        slots[r["__mr_shard"]].append(r["__mr_slot"])
+        assert r["__mr_shard"] < 3 or r["__mr_shard"] == r["old"]
+    assert all(sorted(s) == list(range(100)) for s in slots.values()) and len(slots) == 5
+
+
 def test_rewrite_keeps_every_row(spark, corpus, tmp_path):
     """Repeated and null ids, and a column named like the folders."""
     from millrace.llm.common import identified
