@@ -37,6 +37,17 @@ def keep_memory() -> None:
         libc.mallopt(-1, 1 << 27)
 
 
+def release_memory() -> None:
+    """Gives the memory that this process holds free back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shapes() -> dict[str, tuple[int, ...]]:
     """The weights that are learnt."""
     d = WIDTH

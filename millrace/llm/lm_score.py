@@ -20,6 +20,7 @@ import sys
 import types
 from array import array
 from collections import Counter
+from collections.abc import Container, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ RATES = (0.016, 0.012, 0.008, 0.005, 0.002)
 SCORE_BATCH = 256
 #: Distinct words that a counting task holds, and bytes of runs that a scoring task windows, at a time.
 FLUSH = 400_000
+#: Rows of runs that are taken out of an Arrow batch at a time.
+PIECE = 512
 
 
 def encoding(path: str) -> tiktoken.Encoding:
@@ -119,18 +122,35 @@ class SlotReader:
             out += table[i]
         return array("H", out).tobytes()
 
-    def of(self, words: list[bytes]) -> list[bytes]:
-        """Slots of each word (with the space before it), as 16-bit numbers."""
+    def of(self, words: list[bytes], among: Container[bytes] | None = None) -> list[bytes]:
+        """Slots of each word (with the space before it), as 16-bit numbers; with `among`, only words of it are remembered."""
         known, spell = self.words, self._spell
         found = list(map(known.get, words))
         for k, x in enumerate(found):
             if x is None:
                 found[k] = x = spell(words[k])
-                if len(known) < CACHE_WORDS:
+                if len(known) < CACHE_WORDS and (among is None or words[k] in among):
                     known[words[k]] = x
         return found
 
 
+def forget() -> None:
+    """Drops the words that this process remembers for slots, and gives free memory back, before a pass that spells none."""
+    kept = sys.modules.get("_millrace_kept")
+    if kept is not None:
+        kept.__dict__.pop("slots", None)
+        kept.__dict__.pop("slots_key", None)
+    net.release_memory()
+
+
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of PIECE rows; when they end, free memory is given back for the executor's other tasks."""
+    for batch in batches:
+        for i in range(0, len(batch), PIECE):
+            yield batch.slice(i, PIECE)
+    net.release_memory()
+
+
 def prepared(docs: DataFrame) -> DataFrame:
     """doc_id, rid, train and text: what every pass over the texts reads."""
     train = id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT
@@ -145,6 +165,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """(word, c, n): occurrences of each word in training texts and in all texts. Tasks sum up their own first."""
 
     def scan(batches):
+        forget()
         learn, rest = Counter(), Counter()
 
         def out():
@@ -161,6 +182,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 yield out()
         if learn or rest:
             yield out()
+        net.release_memory()
 
     found = rows.select("train", "text").mapInArrow(scan, "word binary, c long, n long")
     return found.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
@@ -219,7 +241,7 @@ def slot_runs(rows: DataFrame, slots: Slots, known: dict[bytes, int], n: int, v:
             give = ids.setdefault
             codes = [[give(x, len(ids)) for x in t.lower().split()] for t in texts]
             words = list(ids)
-            spelled = reader.of(words)
+            spelled = reader.of(words, known)
             c = np.array([known.get(x, -1) for x in words], dtype=np.int64)
             log = np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.1) / (n + 0.1 * (v + 1))), 0.0)
             out: dict[str, list] = {name: [] for name in ("row", "slots", "part", "n_tokens", "n_known", "base", "rare", "times")}
@@ -242,6 +264,7 @@ def slot_runs(rows: DataFrame, slots: Slots, known: dict[bytes, int], n: int, v:
             arrays = {"slots": pa.array(out["slots"], pa.binary()), "part": pa.array(out["part"], pa.int32()), "turn": pa.array(turn, pa.int32())}
             arrays |= {name: pa.array(out[name], t) for name, t in types.items()}
             yield with_columns(batch.take(pa.array(out["row"], pa.int64())), ["doc_id", "rid", "train"], arrays)
+        net.release_memory()
 
     schema = f"doc_id {kind}, rid long, train boolean, slots binary, part int, turn int, n_tokens long, n_known long, base double, rare array<binary>, times array<long>"
     return rows.mapInArrow(scan, schema)
@@ -251,8 +274,9 @@ def pair_counts(runs: DataFrame) -> np.ndarray:
     """How often each slot follows each other one in the training texts; every slot counts once."""
 
     def scan(batches):
+        forget()
         total = np.zeros(net.SLOTS * net.SLOTS, np.int64)
-        for b in batches:
+        for b in pieces(batches):
             for r, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(r, "<u2").astype(np.int64)
                 before = np.concatenate(([net.END], s[:-1]))
@@ -287,7 +311,7 @@ def _learnt(runs: list[bytes], part: list[int]) -> tuple[np.ndarray, ...]:
 def window_chunks(batches, most: int):
     """The windows of all runs, in chunks of about `most`."""
     runs, part, size = [], [], 0
-    for b in batches:
+    for b in pieces(batches):
         for r, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             runs.append(r)
             part.append(p)
@@ -360,7 +384,7 @@ def run_scores(runs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     def scan(batches):
         net.keep_memory()
         w = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             rid, raw, part = (_column(batch, c) for c in ("rid", "slots", "part"))
             own, part = raw.to_pylist(), part.to_numpy()
             out = np.zeros(len(own))

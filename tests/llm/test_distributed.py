@@ -511,6 +511,33 @@ def test_classes_hold_either_beginnings_or_rests_of_words():
     assert 0 in first and not first & rest and max(slots.slot.values()) < attention.SLOTS
 
 
+def test_workers_hold_frequent_words_only_and_only_while_spelling(corpus):
+    import public_tokenizers
+
+    _, df = corpus
+    path = public_tokenizers.path(lm_score.VOCABULARY)
+    rows = lm_score.prepared(df)
+    slots = lm_score.Slots(path, lm_score.subword_counts(lm_score.word_counts(rows), path))
+    reader = lm_score.SlotReader(slots)
+    words = [b"river", b"stone", b"unheard-of"]
+    assert reader.of(words, {b"river": 3}) == lm_score.SlotReader(slots).of(words) and set(reader.words) == {b"river"}
+
+    def held(batches):
+        import sys
+
+        for b in batches:
+            kept = sys.modules.get("_millrace_kept")
+            yield lm_score.pa.RecordBatch.from_arrays([lm_score.pa.array([len(kept.slots.words) if hasattr(kept, "slots") else -1] * len(b))], names=["n"])
+
+    runs = lm_score.slot_runs(rows, slots, {b"river": 3, b"stone": 2}, 9, 2, 1).repartition(8).cache()
+    probe = lambda: [r["n"] for r in df.select("doc_id").mapInArrow(held, "n long").distinct().collect()]
+    assert runs.count() >= df.count() and max(probe()) == 2
+    lm_score.pair_counts(runs)
+    lm_score.pair_counts(runs.repartition(16))
+    assert probe() == [-1]
+    runs.unpersist()
+
+
 def naive_log10(w, slots):
     """The probability of a text slot by slot, in plain loops."""
     total, d = 0.0, attention.WIDTH
