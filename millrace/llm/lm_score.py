@@ -2,8 +2,10 @@
 
 Words of the whole table are counted first. From the counts come the base score (the
 most frequent words, a bounded number, are broadcast; the others meet their counts in
-an ordinary join) and the frequencies of subword ids. The most frequent ids and all
-single bytes become the model's slots; other ids are spelled in bytes. Pairs of slots
+an ordinary join), the pieces that words are spelled with (byte pairs merged in the
+training counts of the broadcast words) and the frequencies of subword ids in all
+training words. The most frequent ids and all single bytes become the model's slots;
+other ids, which only a vocabulary from outside has, are spelled in bytes. Pairs of slots
 are counted over all training texts; the model starts from them. Training and scoring
 cut each text into the same overlapping windows, in which every slot is a target
 once. Training goes over every window once, dealt over ROUNDS rounds: in each, learners
@@ -18,12 +20,12 @@ import hashlib
 import math
 import sys
 import types
-from array import array
 from collections import Counter
 from collections.abc import Container, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import tiktoken
 from pyspark.sql import Column, DataFrame
@@ -34,8 +36,10 @@ from .blocks import blocks, with_columns
 from .common import id_remainder, stored
 from .tokens import CACHE_WORDS
 
-#: The ranks of the byte-level vocabulary, and the pattern that goes with them.
+#: The ranks of the byte-level vocabulary where no word is known to learn pieces from, and the pattern that goes with them.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: A word goes through learnt pieces in stretches of so many characters, so that no word takes long.
+STRETCH = r" [^ ]{0,63}|[^ ]{1,64}"
 FOLDS, HELD_OUT = 10, 0
 #: Most frequent words that are broadcast, at most.
 FREQUENT = 200_000
@@ -48,31 +52,99 @@ MOST_PASSES = 8
 #: The learning rate of each round.
 RATES = (0.016, 0.012, 0.008, 0.005, 0.002)
 SCORE_BATCH = 256
-#: Distinct words that a counting task holds, and bytes of runs that a scoring task windows, at a time.
+#: Bytes of text whose words are counted, and spelled, at a time, and bytes of runs that a scoring task windows at a time.
+COUNT_BYTES, SPELL_BYTES = 8_000_000, 3_000_000
 FLUSH = 400_000
 #: Rows of runs that are taken out of an Arrow batch at a time.
 PIECE = 512
 
 
-def encoding(path: str) -> tiktoken.Encoding:
-    """The tokenizer of this Python process."""
+#: A file of ranks, or the pieces learnt, in the order in which they were merged.
+Vocabulary = str | tuple[bytes, ...]
+
+
+def encoding(vocabulary: Vocabulary) -> tiktoken.Encoding:
+    return _encoding(vocabulary)[0]
+
+
+def _encoding(vocabulary: Vocabulary) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """The tokenizer of this Python process, and which ids begin with a space; of learnt pieces, it keeps those met last."""
     kept = sys.modules.setdefault("_millrace_kept", types.ModuleType("_millrace_kept"))
     table = kept.__dict__.setdefault("encodings", {})
-    if path not in table:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        table[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return table[path]
+    if vocabulary not in table:
+        if isinstance(vocabulary, str):
+            with open(vocabulary, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            pattern = public_tokenizers.PATTERN
+        else:
+            for old in [k for k in table if not isinstance(k, str)]:
+                del table[old]
+            ranks = {x: i for i, x in enumerate([*(bytes([b]) for b in range(256)), *vocabulary])}
+            pattern = STRETCH
+        opens = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        opens[[i for x, i in ranks.items() if x[:1] == b" "]] = True
+        table[vocabulary] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), opens
+    return table[vocabulary]
+
+
+def learnt_pieces(words: dict[bytes, int], most: int) -> tuple[bytes, ...]:
+    """Up to `most` pieces, by merging the pair of neighbours that occurs most often, again and again.
+
+    Words stand behind a space and count as often as they occur; of pairs that occur
+    equally often, the one of earlier pieces goes first, so the order of words is nothing.
+    """
+    table = sorted((w, c) for w, c in words.items() if c > 0)
+    pieces, number, cap = [bytes([b]) for b in range(256)], {bytes([b]): b for b in range(256)}, 257 + most
+    stop = cap - 1  # stands between words
+    s = np.concatenate([np.frombuffer(b" " + w, np.uint8) for w, _ in table] or [np.zeros(0, np.uint8)]).astype(np.int32)
+    sizes = np.array([len(w) + 1 for w, _ in table], dtype=np.int64)
+    s = np.insert(s, np.cumsum(sizes), stop)
+    times = np.repeat(np.array([c for _, c in table], dtype=np.float64), sizes + 1)
+    while len(pieces) < 256 + most and len(s) > 1:
+        pairs = s[:-1] * cap + s[1:]
+        n = np.bincount(pairs, weights=times[:-1], minlength=cap * cap).reshape(cap, cap)
+        n[stop], n[:, stop] = 0, 0
+        best = int(n.argmax())
+        if n.ravel()[best] < 2:
+            break
+        a, b = divmod(best, cap)
+        at = np.flatnonzero(pairs == best)
+        if a == b:  # in a row of equal pieces, every other pair
+            first = np.concatenate(([True], np.diff(at) > 1))
+            at = at[(np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]) % 2 == 0]
+        piece = pieces[a] + pieces[b]
+        if piece not in number:
+            number[piece] = len(pieces)
+            pieces.append(piece)
+        s[at] = number[piece]
+        keep = np.ones(len(s), dtype=bool)
+        keep[at + 1] = False
+        s, times = s[keep], times[keep]
+    return tuple(pieces[256:])
 
 
 def subwords(t: tiktoken.Encoding, word: bytes) -> list[int]:
     return t.encode_ordinary(" " + word.decode("utf-8", "replace"))
 
 
+def all_subwords(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The subword ids of the words (with the space before each) end to end, and where each word's begin; their number is last.
+
+    Learnt pieces have a space at their beginning only, and words have none inside, so
+    many words are read in one call.
+    """
+    t, opens = _encoding(vocabulary)
+    if isinstance(vocabulary, str):
+        found = [subwords(t, w) for w in words]
+        return np.array([i for ids in found for i in ids], dtype=np.int64), np.cumsum([0, *map(len, found)])
+    ids = np.array(t.encode_ordinary("".join([" " + w.decode("utf-8", "replace") for w in words])), dtype=np.int64)
+    return ids, np.append(np.flatnonzero(opens[ids]), len(ids))
+
+
 class Slots:
     """Which slot each subword id has; ids without one are spelled by single bytes."""
 
-    def __init__(self, path: str, counts: dict[int, int]):
+    def __init__(self, path: Vocabulary, counts: dict[int, int]):
         t = encoding(path)
         self.path = path
         letters = {t.encode_single_token(bytes([b])) for b in range(256)}
@@ -112,25 +184,34 @@ def bytes_of(t: tiktoken.Encoding, i: int) -> list[int]:
 
 class SlotReader:
     def __init__(self, slots: Slots):
-        self.slots, self.encoding, self.words = slots, encoding(slots.path), {}
-
-    def _spell(self, word: bytes) -> bytes:
-        table, out = self.slots.table, []
-        for i in subwords(self.encoding, word):
-            if i not in table:
-                table[i] = [self.slots.slot[j] for j in bytes_of(self.encoding, i)]
-            out += table[i]
-        return array("H", out).tobytes()
+        self.slots, self.words = slots, {}
+        t = encoding(slots.path)
+        letters = [slots.slot[t.encode_single_token(bytes([b]))] for b in range(256)]
+        # The slots of every subword id, end to end, with their number and where they begin.
+        spelled = {i: slots.table.get(i) or [letters[b] for b in x] for x in t.token_byte_values() for i in [t.encode_single_token(x)]}
+        self.sizes = np.zeros(max(spelled) + 1, np.int64)
+        self.sizes[list(spelled)] = [len(x) for x in spelled.values()]
+        self.first = np.zeros_like(self.sizes)
+        self.first[list(spelled)] = np.cumsum([0, *map(len, spelled.values())])[:-1]
+        self.flat = np.array([j for x in spelled.values() for j in x], dtype="<u2")
+
+    def _spell(self, words: list[bytes]) -> list[bytes]:
+        ids, cut = all_subwords(self.slots.path, words)
+        n = self.sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        whole = self.flat[np.repeat(self.first[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        at = (2 * ends[cut]).tolist()
+        return [whole[i:j] for i, j in zip(at, at[1:])]
 
     def of(self, words: list[bytes], among: Container[bytes] | None = None) -> list[bytes]:
         """Slots of each word (with the space before it), as 16-bit numbers; with `among`, only words of it are remembered."""
-        known, spell = self.words, self._spell
+        known = self.words
         found = list(map(known.get, words))
-        for k, x in enumerate(found):
-            if x is None:
-                found[k] = x = spell(words[k])
-                if len(known) < CACHE_WORDS and (among is None or words[k] in among):
-                    known[words[k]] = x
+        new = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(new, self._spell([words[k] for k in new]), strict=True):
+            found[k] = x
+            if len(known) < CACHE_WORDS and (among is None or words[k] in among):
+                known[words[k]] = x
         return found
 
 
@@ -161,27 +242,31 @@ def _column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
+def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct lower-cased words of a block (an empty one may be among them), the place there of each word of the texts, and its text."""
+    lower = pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    lists = pc.ascii_split_whitespace(lower)
+    coded = lists.flatten().dictionary_encode()
+    words, codes = coded.dictionary.view(pa.large_binary()), coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(lists).to_numpy())
+    nothing = pc.index(words, pa.scalar(b"", pa.large_binary())).as_py()  # before and after outer white space
+    if nothing >= 0:
+        real = codes != nothing
+        codes, text = codes[real], text[real]
+    return words, codes, text
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, c, n): occurrences of each word in training texts and in all texts. Tasks sum up their own first."""
+    """(word, c, n): occurrences of each word in training texts and in all texts. Blocks of texts sum up their own first."""
 
     def scan(batches):
         forget()
-        learn, rest = Counter(), Counter()
-
-        def out():
-            words = list(learn.keys() | rest.keys())
-            c = [learn[w] for w in words]
-            n = [x + rest[w] for x, w in zip(c, words, strict=True)]
-            learn.clear(), rest.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "c", "n"])
-
-        for batch, texts in blocks(batches):
-            for t, train in zip(texts, _column(batch, "train").to_pylist(), strict=True):
-                (learn if train else rest).update(t.lower().split())
-            if len(learn) + len(rest) > FLUSH:
-                yield out()
-        if learn or rest:
-            yield out()
+        for batch, texts in blocks(batches, most=COUNT_BYTES):
+            words, codes, text = split_words(texts)
+            n = np.bincount(codes, minlength=len(words))
+            c = np.bincount(codes[np.array(_column(batch, "train").to_pylist(), dtype=bool)[text]], minlength=len(words))
+            out = pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "c", "n"])
+            yield out.filter(pa.array(n > 0))
         net.release_memory()
 
     found = rows.select("train", "text").mapInArrow(scan, "word binary, c long, n long")
@@ -203,16 +288,16 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(step >= bound)
 
 
-def subword_counts(counts: DataFrame, path: str) -> dict[int, int]:
+def subword_counts(counts: DataFrame, path: Vocabulary) -> dict[int, int]:
     """Occurrences of each subword id in the training texts; the vocabulary bounds the result."""
 
     def scan(batches):
-        t, total = encoding(path), Counter()
-        for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i in subwords(t, w):
-                    total[i] += c
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["id", "c"])
+        total = np.zeros(encoding(path).n_vocab, np.int64)
+        for batch in pieces(batches):
+            ids, cut = all_subwords(path, batch.column(0).to_pylist())
+            np.add.at(total, ids, np.repeat(batch.column(1).to_numpy(), np.diff(cut)))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "c"])
 
     found = counts.filter("c > 0").select("word", "c").mapInArrow(scan, "id long, c long")
     return {r["id"]: r["c"] for r in found.groupBy("id").agg(F.sum("c").alias("c")).collect()}
@@ -234,35 +319,52 @@ def slot_runs(rows: DataFrame, slots: Slots, known: dict[bytes, int], n: int, v:
     def scan(batches):
         known, slots = shared.value
         reader = slots.reader()
+        frequent = list(known)
+        # What is known of each frequent word; behind them come, block by block, its other words and an end.
+        spelled = pa.array(reader.of(frequent, known), pa.large_binary())
+        among = pa.array(frequent, pa.large_binary())
+        times = np.array(list(known.values()), dtype=np.int64)
+        logs = np.log10((times + 0.1) / (n + 0.1 * (v + 1)))
         end = np.array([net.END], dtype="<u2").tobytes()
         made = 0
-        for batch, texts in blocks(batches):
-            ids: dict[bytes, int] = {}
-            give = ids.setdefault
-            codes = [[give(x, len(ids)) for x in t.lower().split()] for t in texts]
-            words = list(ids)
-            spelled = reader.of(words, known)
-            c = np.array([known.get(x, -1) for x in words], dtype=np.int64)
-            log = np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.1) / (n + 0.1 * (v + 1))), 0.0)
+        for batch, texts in blocks(batches, most=SPELL_BYTES):
+            words, codes, text = split_words(texts)
+            place = pc.fill_null(pc.index_in(words, among), -1).to_numpy().astype(np.int32)
+            other = np.flatnonzero(place < 0)
+            place[other] = len(frequent) + np.arange(len(other))
+            others = words.take(pa.array(other)).to_pylist()
+            at = place[codes]
+            is_known = at < len(frequent)
+            sizes = np.bincount(text, minlength=len(texts))
+            n_known = np.bincount(text[is_known], weights=times[at[is_known]] > 0, minlength=len(texts)).astype(np.int64) + int(n_ends > 0)
+            base = np.bincount(text[is_known], weights=logs[at[is_known]], minlength=len(texts)) + end_log
+            pairs, m = np.unique(text[~is_known].astype(np.int64) * (len(others) + 1) + at[~is_known] - len(frequent), return_counts=True)
+            rare = [others[k] for k in (pairs % (len(others) + 1)).tolist()]
+            m, bounds = m.tolist(), np.searchsorted(pairs, np.arange(len(texts) + 1) * (len(others) + 1)).tolist()
+            # All slots of the block end to end: every word's, and an end behind each text.
+            every = pa.concat_arrays([spelled, pa.array([*reader.of(others, known), end], pa.large_binary())])
+            laid = every.take(pa.array(np.insert(at, np.cumsum(sizes), len(every) - 1)))
+            edges = np.frombuffer(laid.buffers()[1], np.int64)[np.concatenate(([0], np.cumsum(sizes + 1)))].tolist()
+            whole = memoryview(laid.buffers()[2])
             out: dict[str, list] = {name: [] for name in ("row", "slots", "part", "n_tokens", "n_known", "base", "rare", "times")}
-            for row, cs in enumerate(codes):
-                a = np.array(cs, dtype=np.int64)
-                u, m = np.unique(a[c[a] < 0], return_counts=True)
-                whole = b"".join([spelled[i] for i in cs]) + end
-                for i in range(0, len(whole), WINDOWS_PER_RUN * window):
+            for row, (first, last) in enumerate(zip(edges, edges[1:])):
+                for i in range(first, last, WINDOWS_PER_RUN * window):
+                    begin = i == first
                     out["row"].append(row)
-                    out["slots"].append(whole[max(0, i - window) : i + WINDOWS_PER_RUN * window])
-                    out["part"].append(int(i > 0))
-                    out["n_tokens"].append(len(cs) + 1 if i == 0 else None)
-                    out["n_known"].append(int((c[a] > 0).sum()) + int(n_ends > 0) if i == 0 else None)
-                    out["base"].append(float(log[a].sum()) + end_log if i == 0 else None)
-                    out["rare"].append([words[k] for k in u] if i == 0 else None)
-                    out["times"].append(m.tolist() if i == 0 else None)
+                    out["slots"].append(bytes(whole[max(first, i - window) : min(last, i + WINDOWS_PER_RUN * window)]))
+                    out["part"].append(int(not begin))
+                    out["n_tokens"].append(int(sizes[row]) + 1 if begin else None)
+                    out["n_known"].append(int(n_known[row]) if begin else None)
+                    out["base"].append(float(base[row]) if begin else None)
+                    out["rare"].append(rare[bounds[row] : bounds[row + 1]] if begin else None)
+                    out["times"].append(m[bounds[row] : bounds[row + 1]] if begin else None)
             turn = (made + np.arange(len(out["row"]))) % len(RATES)
             made += len(turn)
             types = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
             arrays = {"slots": pa.array(out["slots"], pa.binary()), "part": pa.array(out["part"], pa.int32()), "turn": pa.array(turn, pa.int32())}
             arrays |= {name: pa.array(out[name], t) for name, t in types.items()}
+            laid = every = whole = None
+            net.release_memory()
             yield with_columns(batch.take(pa.array(out["row"], pa.int64())), ["doc_id", "rid", "train"], arrays)
         net.release_memory()
 
@@ -277,12 +379,15 @@ def pair_counts(runs: DataFrame) -> np.ndarray:
         forget()
         total = np.zeros(net.SLOTS * net.SLOTS, np.int64)
         for b in pieces(batches):
-            for r, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = np.frombuffer(r, "<u2").astype(np.int64)
-                before = np.concatenate(([net.END], s[:-1]))
-                own = slice(net.STRIDE * p, None)
-                cell, n = np.unique(before[own] * net.SLOTS + s[own], return_counts=True)
-                total[cell] += n
+            runs, part = b.column(0).to_pylist(), b.column(1).to_numpy()
+            s = np.frombuffer(b"".join(runs), "<u2").astype(np.int32)
+            first = np.cumsum([0, *(len(r) // 2 for r in runs)])[:-1]
+            cells = s.copy()
+            cells[1:] += s[:-1] * net.SLOTS
+            cells[first] = net.END * net.SLOTS + s[first]
+            own = np.ones(len(s), dtype=bool)
+            own[(first[part == 1][:, None] + np.arange(net.STRIDE)).ravel()] = False
+            total += np.bincount(cells[own], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["cell", "n"])
 
@@ -296,7 +401,7 @@ def window_rows(runs: list[bytes], part: np.ndarray) -> tuple[np.ndarray, ...]:
     """All windows of the runs: inputs, hidden inputs, targets and their run (-1: none). The first of a run of part 1 is another run's."""
     lengths = np.array([len(r) // 2 for r in runs], dtype=np.int64)
     bounds = np.concatenate(([0], np.cumsum(lengths)))
-    inputs, hidden, targets, run = net.windows(np.frombuffer(b"".join(runs), "<u2").astype(np.int64), bounds)
+    inputs, hidden, targets, run = net.windows(np.frombuffer(b"".join(runs), "<u2"), bounds)
     per = -(-lengths // net.STRIDE)
     own = np.ones(len(inputs), dtype=bool)
     own[(np.cumsum(per) - per)[np.asarray(part) == 1]] = False
@@ -305,7 +410,7 @@ def window_rows(runs: list[bytes], part: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _learnt(runs: list[bytes], part: list[int]) -> tuple[np.ndarray, ...]:
     inputs, hidden, targets, run = window_rows(runs, np.array(part))
-    return inputs.astype(np.int16), hidden, targets.astype(np.int16), run >= 0
+    return inputs, hidden, targets, run >= 0
 
 
 def window_chunks(batches, most: int):
@@ -393,7 +498,8 @@ def run_scores(runs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             for i, j in zip([0, *cut], [*cut, len(own)]):
                 inputs, hidden, targets, run = window_rows(own[i:j], part[i:j])
                 for k in range(0, len(inputs), SCORE_BATCH):
-                    lp = net.log_probabilities(w, inputs[k : k + SCORE_BATCH], hidden[k : k + SCORE_BATCH], targets[k : k + SCORE_BATCH]).ravel()
+                    few = slice(k, k + SCORE_BATCH)
+                    lp = net.log_probabilities(w, inputs[few].astype(np.int64), hidden[few], targets[few].astype(np.int64)).ravel()
                     at = run[k : k + SCORE_BATCH].ravel()
                     out[i:j] += np.bincount(at[at >= 0], weights=lp[at >= 0], minlength=j - i)
             yield pa.RecordBatch.from_arrays([rid, pa.array(out / math.log(10))], names=["rid", "score"])
@@ -409,16 +515,16 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int =
     the last word. Null and empty texts are the end alone. Rows that repeat a doc_id
     are counted and scored one by one. Without training rows, counts are zero and the
     model knows no frequencies. An empty table gives no rows; columns besides doc_id
-    and text are not read. vocabulary is a file of ranks on every executor.
+    and text are not read. vocabulary is a file of ranks on every executor; without one,
+    pieces are learnt from the training counts of the frequent words.
     """
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
-    spark = docs.sparkSession
     rows = prepared(docs)
     counts = stored(word_counts(rows))
     n_ends = rows.filter("train").count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
     n, v = sums[0] + n_ends, sums[1] + int(n_ends > 0)
     known = {bytes(r["word"]): r["c"] for r in frequent_words(counts, frequent).collect()}
+    path = vocabulary or learnt_pieces(known, net.SLOTS - net.CLASS_SIZE - 256) or public_tokenizers.path(VOCABULARY)
     slots = Slots(path, subword_counts(counts, path))
     n_windows = windows_in(slots, n_ends)
     runs = slot_runs(rows, slots, known, n, v, n_ends)

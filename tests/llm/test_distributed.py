@@ -511,6 +511,63 @@ def test_classes_hold_either_beginnings_or_rests_of_words():
     assert 0 in first and not first & rest and max(slots.slot.values()) < attention.SLOTS
 
 
+def plain_pieces(words, most):
+    """Byte pairs merged one at a time, in plain loops."""
+    spelled = {w: [bytes([b]) for b in b" " + w] for w, c in words.items() if c}
+    order = [bytes([b]) for b in range(256)]
+    while len(order) < 256 + most:
+        n = Counter()
+        for w, x in spelled.items():
+            for pair in zip(x, x[1:]):
+                n[pair] += words[w]
+        if not n or max(n.values()) < 2:
+            break
+        a, b = max(n, key=lambda p: (n[p], -order.index(p[0]), -order.index(p[1])))
+        for w, x in spelled.items():
+            out, i = [], 0
+            while i < len(x):
+                step = 2 if x[i : i + 2] == [a, b] else 1
+                out.append(b"".join(x[i : i + step]))
+                i += step
+            spelled[w] = out
+        if a + b not in order:
+            order.append(a + b)
+    return tuple(order[256:])
+
+
+def test_pieces_are_learnt_from_the_corpus_and_spell_every_word(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path(lm_score.VOCABULARY)
+    few = {b"aaaaa": 3, b"aaa": 2, b"banana": 4, b"bandana": 1, "na\u00efve".encode(): 2, b"unlearnt": 0}
+    assert lm_score.learnt_pieces(few, 12) == plain_pieces(few, 12) == lm_score.learnt_pieces(dict(reversed(few.items())), 12)
+    assert lm_score.learnt_pieces({}, 12) == lm_score.learnt_pieces({b"x": 1}, 12) == ()
+    # Texts take fewer slots than by the general vocabulary, and every slot is still counted and read.
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = lm_score.word_counts(lm_score.prepared(docs)).cache()
+    known = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    pieces = lm_score.learnt_pieces(known, attention.SLOTS - attention.CLASS_SIZE - 256)
+    own, general = (lm_score.Slots(v, lm_score.subword_counts(counts, v)) for v in (pieces, path))
+    assert own.n_slots < 0.85 * general.n_slots and max(own.slot.values()) < attention.SLOTS
+    odd = [b"", b"a" * 1000, "\u00a0x\u3000y".encode(), "\U0001f600".encode() * 70, b"\x1c\x1d", b"\x00"]
+    for slots in (own, general):
+        t, words = lm_score.encoding(slots.path), [*sorted(known)[::50], *odd]
+        text = {s: t.decode_single_token_bytes(i) for i, s in slots.slot.items()}
+        spelled = slots.reader().of(words)
+        assert [b"".join(text[s] for s in np.frombuffer(x, "<u2").tolist()) for x in spelled] == [b" " + w for w in words]
+        n = sum(known.get(w, 0) * len(x) // 2 for w, x in zip(sorted(known), slots.reader().of(sorted(known)), strict=True))
+        assert n == slots.n_slots
+    counts.unpersist()
+
+
+def test_words_of_blocks():
+    texts = [b"", b"  ", b"The the\x0bTHE\x1cx \xc3\x89t\xc3\xa9\r\n", b"one", " \u00a0y\u0085z ".encode()]
+    words, codes, text = lm_score.split_words(texts)
+    words = words.to_pylist()
+    got = [[words[c] for c, t in zip(codes, text, strict=True) if t == k] for k in range(len(texts))]
+    assert got == [t.lower().split() for t in texts]
+
+
 def test_workers_hold_frequent_words_only_and_only_while_spelling(corpus):
     import public_tokenizers
 
