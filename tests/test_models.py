@@ -85,6 +85,32 @@ def test_positions_over_several_ranges(spark, monkeypatch):
     assert all(r["id"] == r["__position"] for r in with_position(df, "id").collect())
 
 
+@pytest.mark.parametrize("metric", ["manhattan", "euclidean"])
+def test_nearest_rows_in_tiles(metric):
+    import tracemalloc
+
+    from millrace.operators.neighbors import nearest
+
+    rng = np.random.default_rng(5)
+    t = rng.integers(0, 3, (9000, 6)).astype(float)  # many ties
+    ids, q = rng.permutation(9000), t[:40] + rng.integers(0, 2, (40, 6)) / 2
+    gap = np.abs(q[:, None] - t[None])
+    exact = gap.sum(2) if metric == "manhattan" else np.sqrt((gap * gap).sum(2))
+    for own in (None, ids[:40]):
+        seen = exact if own is None else np.where(own[:, None] == ids, np.inf, exact)
+        order = np.array([np.lexsort((ids, seen[r]))[:7] for r in range(40)])
+        d, i = nearest(q, t, ids, 7, metric, own)
+        assert (i == ids[order]).all() and np.allclose(d, np.take_along_axis(seen, order, 1), rtol=1e-15)
+    few = nearest(q, t[:4], ids[:4], 7, metric)
+    assert np.isfinite(few[0]).sum(1).tolist() == [4] * 40
+    t, q = rng.random((20_000, 64)), rng.random((512, 64))
+    tracemalloc.start()
+    nearest(q, t, np.arange(20_000), 5, metric)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+
+
 def test_ranges_take_few_comparisons_a_row(spark, monkeypatch):
     from millrace.operators import split
 
