@@ -4,12 +4,15 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from millrace.functions.columns import number
 from millrace.operators.base import NotFittedError
 from millrace.operators.compose import ColumnTransformer, Pipeline, make_pipeline
 from millrace.operators.encode import OneHotEncoder
 from millrace.operators.impute import SimpleImputer
 from millrace.operators.scale import MaxAbsScaler, MinMaxScaler, Normalizer, RobustScaler, StandardScaler
+from millrace.plans import fuse
 
 XY = "x0 double, x1 double"
 
@@ -87,6 +90,46 @@ def test_robust(spark):
         assert RobustScaler(quantile_range=(50, 50), unit_variance=True).fit(frame(spark, [(1.0, 2.0), (3.0, 5.0)])).scale_[0] == np.inf
 
 
+def test_percentiles_of_many_values_stay_small(spark):
+    """No task reads the values of a column, however many there are."""
+    n, sc = 400_000, spark.sparkContext
+    df = spark.range(0, n, 1, 4).select(((F.col("id") * 7919 % n).cast("double") / 3).alias("x"))
+    sc.setJobGroup("percentiles", "")
+    s, m = RobustScaler().fit(df), SimpleImputer(strategy="median").fit(df)
+    jobs = map(sc.statusTracker().getJobInfo, sc.statusTracker().getJobIdsForGroup("percentiles"))
+    read = [sc._jsc.sc().statusStore().lastStageAttempt(k).shuffleReadBytes() for j in jobs for k in j.stageIds]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < max(read) < 1_000_000
+    want = np.percentile(np.arange(n) / 3, [25, 50, 75])
+    np.testing.assert_allclose([s.center_[0], s.scale_[0], m.statistics_[0]], [want[1], want[2] - want[0], want[1]], rtol=1e-12)
+
+
+def test_percentiles_of_odd_values(spark, monkeypatch):
+    monkeypatch.setattr(fuse, "COLUMNS", 2)  # several passes of columns
+    rng = np.random.default_rng(3)
+    data = np.stack(
+        [
+            rng.standard_normal(301) * 10.0 ** rng.integers(-300, 300, 301),
+            -np.exp(rng.standard_normal(301)),
+            np.where(rng.random(301) < 0.8, -0.0, rng.integers(-2, 3, 301)),
+            rng.permutation(301) * 5e-324,
+            np.nextafter(1.0, 2.0) + rng.permutation(301) * 2.0**-52,
+            rng.choice([-1.7e308, 1.7e308], 301),
+            np.full(301, 4.5),
+        ],
+        axis=1,
+    )
+    df = frame(spark, [tuple(map(float, r)) for r in data] + [(None,) * 6 + (float("nan"),)], ", ".join(f"x{i} double" for i in range(7))).repartition(3)
+    for low, high in ((25.0, 75.0), (0.0, 100.0), (10.0, 33.3)):
+        wanted = [fuse.Percentiles(number(df, n), [low / 100, high / 100]) for n in df.columns]
+        first = [tuple(df.agg(*w.first()).first()) for w in wanted]
+        found = fuse.percentiles(df, wanted, first)
+        old = df.agg(*[F.percentile(number(df, n), F.array(F.lit(low / 100), F.lit(high / 100))) for n in df.columns]).first()
+        assert [list(x) for x in old] == found
+    with pytest.raises(ValueError, match="infinity"):
+        RobustScaler().fit(frame(spark, [(1.0,), (float("inf"),), (2.0,)], "x0 double"))
+
+
 @pytest.mark.parametrize(("norm", "want"), [("l1", [3 / 7, 4 / 7]), ("l2", [0.6, 0.8]), ("max", [0.75, 1])])
 def test_normalizer(spark, norm, want):
     df = frame(spark, [(0.0, 0.0), (3.0, 4.0), (1e-308, 1e-308)])
