@@ -137,7 +137,7 @@ def all_subwords(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray
     if isinstance(vocabulary, str):
         found = [subwords(t, w) for w in words]
         return np.array([i for ids in found for i in ids], dtype=np.int64), np.cumsum([0, *map(len, found)])
-    ids = np.array(t.encode_ordinary("".join([" " + w.decode("utf-8", "replace") for w in words])), dtype=np.int64)
+    ids = np.array(t.encode_ordinary(b" ".join([b"", *words]).decode("utf-8", "replace")), dtype=np.int64)
     return ids, np.append(np.flatnonzero(opens[ids]), len(ids))
 
 
@@ -195,12 +195,16 @@ class SlotReader:
         self.first[list(spelled)] = np.cumsum([0, *map(len, spelled.values())])[:-1]
         self.flat = np.array([j for x in spelled.values() for j in x], dtype="<u2")
 
-    def _spell(self, words: list[bytes]) -> list[bytes]:
+    def spelled(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the words (with the space before each) end to end, and where each word's begin; their number is last."""
         ids, cut = all_subwords(self.slots.path, words)
         n = self.sizes[ids]
         ends = np.concatenate(([0], np.cumsum(n)))
-        whole = self.flat[np.repeat(self.first[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-        at = (2 * ends[cut]).tolist()
+        return self.flat[np.repeat(self.first[ids] - ends[:-1], n) + np.arange(ends[-1])], ends[cut]
+
+    def _spell(self, words: list[bytes]) -> list[bytes]:
+        slots, ends = self.spelled(words)
+        whole, at = slots.tobytes(), (2 * ends).tolist()
         return [whole[i:j] for i, j in zip(at, at[1:])]
 
     def of(self, words: list[bytes], among: Container[bytes] | None = None) -> list[bytes]:
@@ -332,21 +336,23 @@ def slot_runs(rows: DataFrame, slots: Slots, known: dict[bytes, int], n: int, v:
             place = pc.fill_null(pc.index_in(words, among), -1).to_numpy().astype(np.int32)
             other = np.flatnonzero(place < 0)
             place[other] = len(frequent) + np.arange(len(other))
-            others = words.take(pa.array(other)).to_pylist()
+            others = words.take(pa.array(other))
             at = place[codes]
             is_known = at < len(frequent)
             sizes = np.bincount(text, minlength=len(texts))
             n_known = np.bincount(text[is_known], weights=times[at[is_known]] > 0, minlength=len(texts)).astype(np.int64) + int(n_ends > 0)
             base = np.bincount(text[is_known], weights=logs[at[is_known]], minlength=len(texts)) + end_log
             pairs, m = np.unique(text[~is_known].astype(np.int64) * (len(others) + 1) + at[~is_known] - len(frequent), return_counts=True)
-            rare = [others[k] for k in (pairs % (len(others) + 1)).tolist()]
-            m, bounds = m.tolist(), np.searchsorted(pairs, np.arange(len(texts) + 1) * (len(others) + 1)).tolist()
-            # All slots of the block end to end: every word's, and an end behind each text.
-            every = pa.concat_arrays([spelled, pa.array([*reader.of(others, known), end], pa.large_binary())])
+            rare = others.take(pa.array(pairs % (len(others) + 1))).cast(pa.binary())
+            n_rare = np.diff(np.searchsorted(pairs, np.arange(len(texts) + 1) * (len(others) + 1)))
+            # All slots of the block end to end: every word's, and an end behind each text. Other words are met once a block.
+            letters, cut = reader.spelled(others.to_pylist())
+            own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(others), [None, pa.py_buffer(2 * cut), pa.py_buffer(letters)])
+            every = pa.concat_arrays([spelled, own, pa.array([end], pa.large_binary())])
             laid = every.take(pa.array(np.insert(at, np.cumsum(sizes), len(every) - 1)))
             edges = np.frombuffer(laid.buffers()[1], np.int64)[np.concatenate(([0], np.cumsum(sizes + 1)))].tolist()
             whole = memoryview(laid.buffers()[2])
-            out: dict[str, list] = {name: [] for name in ("row", "slots", "part", "n_tokens", "n_known", "base", "rare", "times")}
+            out: dict[str, list] = {name: [] for name in ("row", "slots", "part", "n_tokens", "n_known", "base")}
             for row, (first, last) in enumerate(zip(edges, edges[1:])):
                 for i in range(first, last, WINDOWS_PER_RUN * window):
                     begin = i == first
@@ -356,14 +362,16 @@ def slot_runs(rows: DataFrame, slots: Slots, known: dict[bytes, int], n: int, v:
                     out["n_tokens"].append(int(sizes[row]) + 1 if begin else None)
                     out["n_known"].append(int(n_known[row]) if begin else None)
                     out["base"].append(float(base[row]) if begin else None)
-                    out["rare"].append(rare[bounds[row] : bounds[row + 1]] if begin else None)
-                    out["times"].append(m[bounds[row] : bounds[row + 1]] if begin else None)
             turn = (made + np.arange(len(out["row"]))) % len(RATES)
             made += len(turn)
-            types = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
+            types = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64()}
             arrays = {"slots": pa.array(out["slots"], pa.binary()), "part": pa.array(out["part"], pa.int32()), "turn": pa.array(turn, pa.int32())}
             arrays |= {name: pa.array(out[name], t) for name, t in types.items()}
-            laid = every = whole = None
+            # A text's first run holds its other words, runs of part 1 hold none.
+            goes_on = np.array(out["part"]) == 1
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.where(goes_on, 0, n_rare[out["row"]])))), pa.int32())
+            arrays |= {name: pa.ListArray.from_arrays(ends, values, mask=pa.array(goes_on)) for name, values in (("rare", rare), ("times", pa.array(m, pa.int64())))}
+            laid = every = own = whole = None
             net.release_memory()
             yield with_columns(batch.take(pa.array(out["row"], pa.int64())), ["doc_id", "rid", "train"], arrays)
         net.release_memory()

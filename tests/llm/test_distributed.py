@@ -568,6 +568,17 @@ def test_words_of_blocks():
     assert got == [t.lower().split() for t in texts]
 
 
+def test_many_words_are_spelled_end_to_end():
+    words = ["été".encode(), b"a", b"\xc3", b"\xa9b", b"\xe2\x82", "x".encode() * 200, "\u2028".encode(), b"cab"]
+    slots = lm_score.Slots((b" c", b"ab"), {256: 3, 257: 2})
+    reader = lm_score.SlotReader(slots)
+    found, cut = reader.spelled(words)
+    t = lm_score.encoding(slots.path)
+    for k, w in enumerate(words):
+        assert found[cut[k] : cut[k + 1]].tolist() == [j for i in lm_score.subwords(t, w) for j in slots.table[i]]
+    assert not reader.words and [len(x) for x in reader.spelled([])] == [0, 1]
+
+
 def test_workers_hold_frequent_words_only_and_only_while_spelling(corpus):
     import public_tokenizers
 
