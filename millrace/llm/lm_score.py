@@ -4,9 +4,9 @@ Words of the whole table are counted first. From the counts come the base score
 most frequent words, a bounded number, are broadcast; the others meet their counts in
 an ordinary join), the pieces that words are spelled with (byte pairs merged in the
 training counts of the broadcast words) and the frequencies of subword ids in all
-training words. The most frequent ids and all single bytes become the model's slots;
-other ids, which only a vocabulary from outside has, are spelled in bytes. Pairs of slots
-are counted over all training texts; the model starts from them. Training and scoring
+training words. The most frequent ids and all single bytes (with learnt pieces, those that
+any word holds) become the model's slots; other ids, which only a vocabulary from outside
+has, are spelled in bytes. Pairs of slots are counted over all training texts; the model starts from them. Training and scoring
 cut each text into the same overlapping windows, in which every slot is a target
 once. Training goes over every window once, dealt over ROUNDS rounds: in each, learners
 go over that round's windows of their own partitions, a bounded number in memory at a
@@ -100,15 +100,22 @@ def learnt_pieces(words: dict[bytes, int], most: int) -> tuple[bytes, ...]:
     sizes = np.array([len(w) + 1 for w, _ in table], dtype=np.int64)
     s = np.insert(s, np.cumsum(sizes), stop)
     times = np.repeat(np.array([c for _, c in table], dtype=np.float64), sizes + 1)
+    n = np.bincount(s[:-1] * cap + s[1:], weights=times[:-1], minlength=cap * cap)
+
+    def add(at: np.ndarray, sign: int) -> None:
+        """Counts the pairs at these places in or out."""
+        at = np.unique(at)
+        at = at[(at >= 0) & (at < len(s) - 1)]
+        np.add.at(n, s[at] * cap + s[at + 1], sign * times[at])
+        n.reshape(cap, cap)[stop], n.reshape(cap, cap)[:, stop] = 0, 0
+
+    add(np.zeros(0, np.int64), 1)
     while len(pieces) < 256 + most and len(s) > 1:
-        pairs = s[:-1] * cap + s[1:]
-        n = np.bincount(pairs, weights=times[:-1], minlength=cap * cap).reshape(cap, cap)
-        n[stop], n[:, stop] = 0, 0
         best = int(n.argmax())
-        if n.ravel()[best] < 2:
+        if n[best] < 2:
             break
         a, b = divmod(best, cap)
-        at = np.flatnonzero(pairs == best)
+        at = np.flatnonzero((s[:-1] == a) & (s[1:] == b))
         if a == b:  # in a row of equal pieces, every other pair
             first = np.concatenate(([True], np.diff(at) > 1))
             at = at[(np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]) % 2 == 0]
@@ -116,10 +123,13 @@ def learnt_pieces(words: dict[bytes, int], most: int) -> tuple[bytes, ...]:
         if piece not in number:
             number[piece] = len(pieces)
             pieces.append(piece)
+        add(np.concatenate((at - 1, at, at + 1)), -1)
         s[at] = number[piece]
         keep = np.ones(len(s), dtype=bool)
         keep[at + 1] = False
         s, times = s[keep], times[keep]
+        at -= np.arange(len(at))
+        add(np.concatenate((at - 1, at)), 1)
     return tuple(pieces[256:])
 
 
@@ -142,12 +152,12 @@ def all_subwords(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray
 
 
 class Slots:
-    """Which slot each subword id has; ids without one are spelled by single bytes."""
+    """Which slot each subword id has; ids without one are spelled by single bytes, of which `used` have a slot (without it, all)."""
 
-    def __init__(self, path: Vocabulary, counts: dict[int, int]):
+    def __init__(self, path: Vocabulary, counts: dict[int, int], used: Iterable[int] | None = None):
         t = encoding(path)
-        self.path = path
-        letters = {t.encode_single_token(bytes([b])) for b in range(256)}
+        self.path, self.used = path, sorted(range(256) if used is None else used)
+        letters = {t.encode_single_token(bytes([b])) for b in self.used}
         others = sorted((i for i in counts if i not in letters), key=lambda i: (-counts[i], i))[: net.SLOTS - net.CLASS_SIZE - len(letters)]
         kept, spelled = letters | set(others), {}
         total: Counter = Counter()
@@ -186,9 +196,9 @@ class SlotReader:
     def __init__(self, slots: Slots):
         self.slots, self.words = slots, {}
         t = encoding(slots.path)
-        letters = [slots.slot[t.encode_single_token(bytes([b]))] for b in range(256)]
-        # The slots of every subword id, end to end, with their number and where they begin.
-        spelled = {i: slots.table.get(i) or [letters[b] for b in x] for x in t.token_byte_values() for i in [t.encode_single_token(x)]}
+        letters = {b: slots.slot[t.encode_single_token(bytes([b]))] for b in slots.used}
+        # The slots of every subword id, end to end, with their number and where they begin; none of ids with bytes that have no slot.
+        spelled = {i: slots.table.get(i) or ([letters[b] for b in x] if letters.keys() >= set(x) else []) for x in t.token_byte_values() for i in [t.encode_single_token(x)]}
         self.sizes = np.zeros(max(spelled) + 1, np.int64)
         self.sizes[list(spelled)] = [len(x) for x in spelled.values()]
         self.first = np.zeros_like(self.sizes)
@@ -199,6 +209,8 @@ class SlotReader:
         """Slots of the words (with the space before each) end to end, and where each word's begin; their number is last."""
         ids, cut = all_subwords(self.slots.path, words)
         n = self.sizes[ids]
+        if not n.all():
+            raise ValueError("a word holds a byte that was in none of the counted words")
         ends = np.concatenate(([0], np.cumsum(n)))
         return self.flat[np.repeat(self.first[ids] - ends[:-1], n) + np.arange(ends[-1])], ends[cut]
 
@@ -307,6 +319,19 @@ def subword_counts(counts: DataFrame, path: Vocabulary) -> dict[int, int]:
     return {r["id"]: r["c"] for r in found.groupBy("id").agg(F.sum("c").alias("c")).collect()}
 
 
+def bytes_in(counts: DataFrame) -> list[int]:
+    """The bytes of all counted words as they are spelled, and the space before them."""
+
+    def scan(batches):
+        total = np.zeros(256, np.int64)
+        for batch in pieces(batches):
+            words = b" ".join([b"", *batch.column(0).to_pylist()]).decode("utf-8", "replace").encode()
+            total += np.bincount(np.frombuffer(words, np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int64())], names=["b"])
+
+    return sorted({32} | {r["b"] for r in counts.select("word").mapInArrow(scan, "b long").distinct().collect()})
+
+
 def slot_runs(rows: DataFrame, slots: Slots, known: dict[bytes, int], n: int, v: int, n_ends: int) -> DataFrame:
     """All slots of every text and its end, in runs of WINDOWS_PER_RUN windows at most: rid, train, slots, part and turn.
 
@@ -532,8 +557,10 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, frequent: int =
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
     n, v = sums[0] + n_ends, sums[1] + int(n_ends > 0)
     known = {bytes(r["word"]): r["c"] for r in frequent_words(counts, frequent).collect()}
-    path = vocabulary or learnt_pieces(known, net.SLOTS - net.CLASS_SIZE - 256) or public_tokenizers.path(VOCABULARY)
-    slots = Slots(path, subword_counts(counts, path))
+    # Bytes that are in no text take no slot from the pieces.
+    used = None if vocabulary else bytes_in(counts)
+    path = vocabulary or learnt_pieces(known, net.SLOTS - net.CLASS_SIZE - len(used)) or public_tokenizers.path(VOCABULARY)
+    slots = Slots(path, subword_counts(counts, path), None if isinstance(path, str) else used)
     n_windows = windows_in(slots, n_ends)
     runs = slot_runs(rows, slots, known, n, v, n_ends)
     # Dealt in turn, so that copies of a text do not gather in one learner and a long text is no single task.

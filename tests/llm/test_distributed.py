@@ -560,6 +560,36 @@ def test_pieces_are_learnt_from_the_corpus_and_spell_every_word(spark):
     counts.unpersist()
 
 
+def test_bytes_in_no_text_take_no_slot(spark, monkeypatch):
+    class Made(Exception):
+        pass
+
+    def made(rows, slots, *rest):
+        raise Made(slots)
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = lm_score.word_counts(lm_score.prepared(docs)).cache()
+    known = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    held = set(b"".join(known)) | {32}
+    assert lm_score.bytes_in(counts) == sorted(held)
+    monkeypatch.setattr(lm_score, "slot_runs", made)
+    with pytest.raises(Made) as e:
+        lm_score.score_texts(docs)
+    own = e.value.args[0]
+    t = lm_score.encoding(own.path)
+    text = {s: t.decode_single_token_bytes(i) for i, s in own.slot.items()}
+    assert {x[0] for x in text.values() if len(x) == 1} == held
+    # The pieces have their slots, texts take fewer, and words not trained on are still spelled.
+    pieces = lm_score.learnt_pieces(known, attention.SLOTS - attention.CLASS_SIZE - 256)
+    every = lm_score.Slots(pieces, lm_score.subword_counts(counts, pieces))
+    assert own.n_slots < 0.98 * every.n_slots and max(text) < attention.SLOTS
+    words = sorted(known)
+    assert [b"".join(text[s] for s in np.frombuffer(x, "<u2").tolist()) for x in own.reader().of(words)] == [b" " + w for w in words]
+    with pytest.raises(ValueError):
+        own.reader().of([bytes([min(set(range(33, 127)) - held, default=0)])])
+    counts.unpersist()
+
+
 def test_words_of_blocks():
     texts = [b"", b"  ", b"The the\x0bTHE\x1cx \xc3\x89t\xc3\xa9\r\n", b"one", " \u00a0y\u0085z ".encode()]
     words, codes, text = lm_score.split_words(texts)
